@@ -111,7 +111,7 @@ def shingles(hashed: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.ndarr
     m = len(hashed)
     rolled = np.zeros(m, _U)
     a = _U(0xD6E8FEB86659FD93)
-    for j in range(k):
+    for j in range(min(k, m)):
         rolled[: m - j] = rolled[: m - j] * a + hashed[j:] + _U(1)
     rolled = mix(rolled)
     position = np.arange(total, dtype=np.int64) + np.repeat(per_text[:-1] - begin[:-1], n_out)
