@@ -41,12 +41,12 @@ def subject(message: Column) -> Column:
 
 def first_text_line(message: Column) -> Column:
     """The first line that isn't blank, trimmed, else `(no subject)`."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), F.trim), lambda x: x != ""), F.lit(0)), F.lit("(no subject)"))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit("(no subject)"))
 
 
 def annotation(message: Column, n: int) -> Column:
     """The first n non-blank lines, joined by blanks."""
-    return F.array_join(F.slice(F.filter(F.transform(F.split(message, "\n"), F.trim), lambda x: x != ""), 1, n), " ")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(message, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, n), " ")
 
 
 def strip_comments(text: Column, mark: str = "#") -> Column:
