@@ -35,7 +35,9 @@ from .common import buckets, settle, written
 from .components import components
 from .words import mix, shingles, text_buffers, word_table
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
+#: Bits of a shingle's hash that don't choose its cell.
+_CELL = np.uint64(64 - 22)
 CHUNK = 1 << 16
 PAIRS = 24
 BLOCK = 512
@@ -113,7 +115,7 @@ def _profile(k: int):
                 if sid not in seen and len(own):
                     if len(seen) < 1_000_000:
                         seen.add(sid)
-                    fresh.append((own >> np.uint64(44)).astype(np.int64))
+                    fresh.append((own >> _CELL).astype(np.int64))
             if fresh:
                 cells, times = np.unique(np.concatenate(fresh), return_counts=True)
                 sketch[cells] += times
@@ -121,7 +123,7 @@ def _profile(k: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
             parts = range(SKETCH // CHUNK)
-            blobs = [sketch[i * CHUNK : (i + 1) * CHUNK].astype("<u4").tobytes() for i in parts]
+            blobs = [np.minimum(sketch[i * CHUNK : (i + 1) * CHUNK], 255).astype(np.uint8).tobytes() for i in parts]
             n = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
@@ -132,7 +134,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(blob.as_buffer(), "<u4").astype(np.int64)
+            part = np.frombuffer(blob.as_buffer(), np.uint8).astype(np.int64)
             sums[chunk] = sums[chunk] + part if chunk in sums else part
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
@@ -143,7 +145,7 @@ def levels(sketch: np.ndarray) -> np.ndarray:
     mean = sketch.mean()
     spread = math.sqrt(mean) + 1
     over = np.maximum((sketch - mean) / spread, 1e-9)
-    return np.where(over > 8, 1 + np.log2(over), 0).astype(np.uint8)
+    return np.where(over > 3, 1 + np.log2(over), 0).astype(np.uint8)
 
 
 def boundary(histogram: dict[int, int], t: Threshold) -> int:
@@ -197,7 +199,7 @@ def _postings(k: int, t: Threshold, x: int, level: np.ndarray, n_buckets: int):
                             held.append(entry)
                             count += len(entry)
                 if s >= least_heavy:
-                    common = level[(own >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+                    common = level[(own >> _CELL).astype(np.int64)].astype(np.uint64)
                     prefix = t.prefix(s)
                     ranked = np.sort((common << np.uint64(58)) | (mix(own) >> np.uint64(6)))[:prefix]
                     entry = np.zeros(len(ranked), _ENTRY)
@@ -242,7 +244,8 @@ def _meet(t: Threshold, x: int):
             i, j = e[at], e[at + d]
             n_i, n_j = i["n"].astype(np.int64), j["n"].astype(np.int64)
             need = t.overlap(n_i, n_j)
-            most = np.minimum(i["place"], j["place"]) + 1 + np.minimum(n_i - 1 - i["place"], n_j - 1 - j["place"])
+            # at the first shingle that two prefixes share, nothing before it can add to their overlap
+            most = 1 + np.minimum(n_i - 1 - i["place"], n_j - 1 - j["place"])
             ok = (need <= n_i) & (most >= need) & (n_j > x)
             kinds.append(np.ones(ok.sum(), np.int32))
             a.append(np.minimum(i["sid"], j["sid"])[ok])
@@ -276,10 +279,13 @@ def _fetch(k: int):
     """(sid, elements) of texts whose set has the id that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat a document give its set once in a task
         for batch in batches:
             sids, blobs = [], []
             for want, own in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), k), strict=True):
-                if set_id(own) == want:
+                if want not in seen and set_id(own) == want:
+                    if len(seen) < 1_000_000:
+                        seen.add(want)
                     sids.append(want)
                     blobs.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], names=["sid", "elements"])
@@ -360,7 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     first = base.filter("n > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(members.select("sid")).distinct()
     wanted = wanted.join(first, "sid")
-    sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(_fetch(k), "sid long, elements binary").dropDuplicates(["sid"]))
+    sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(_fetch(k), "sid long, elements binary"))
     left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_check(t), "a long, b long")
     forest = members.join(sets, "sid").groupBy("list", "p", "q").applyInArrow(_forest(t), "a long, b long")
