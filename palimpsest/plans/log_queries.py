@@ -196,3 +196,10 @@ def reflog_stream_annotated(spark, sf):
     owner = views.load(spark, sf, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_name").alias("owner"))
     events = stream.event_stream(spark, sf).select("event_id", F.col("user_id").alias("ref"))
     return stream.drained(stream.annotated(events, owner, "ref").select("event_id", "ref", "owner"))
+
+
+@query(REFLOG + "SELECT ref, count(*)::BIGINT AS n, arg_max(new_id, seq) AS last_id FROM reflog GROUP BY ref")
+def reflog_stream_state(spark, sf):
+    """Numbers of entries and newest values by reference, from state that a stream keeps; the last state of each."""
+    told = stream.drained(stream.running_values(stream.event_stream(spark, sf)), "update")
+    return told.groupBy("ref").agg(F.max("n").alias("n"), F.max_by("last_id", "n").alias("last_id"))

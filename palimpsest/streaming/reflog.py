@@ -19,7 +19,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that a stream yields from what is there now, as a table in the shared folder.
 
-    Append mode writes files with a commit log; complete mode replaces the table with each batch.
+    Append mode writes files with a commit log; complete mode replaces the table with each batch; update mode adds each batch's changes.
     """
     spark = stream.sparkSession
     target, state = shared_path(spark), shared_path(spark)
@@ -27,7 +27,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").option("path", target).start()
     else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
+        how = "overwrite" if mode == "complete" else "append"
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(target)).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
 
@@ -47,3 +48,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def annotated(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
     """A stream joined with a static table, row by row."""
     return events.join(static, on, "left")
+
+
+def running_values(events: DataFrame) -> DataFrame:
+    """(ref, n, last_id): state kept for each reference, told anew with every batch that touches it.
+
+    State is one row a reference: its number of entries and the newest of them by (time, id).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames, state: GroupState):
+        n, at, last = state.get if state.exists else (0, -1, -1)
+        for frame in frames:
+            n += len(frame)
+            newest = max(zip(frame["ts"].tolist(), frame["event_id"].tolist(), strict=True))
+            at, last = max((at, last), newest)
+        state.update((n, at, last))
+        yield pd.DataFrame({"ref": [key[0]], "n": [n], "last_id": [last]})
+
+    rows = events.select(F.col("user_id").alias("ref"), "event_id", F.unix_micros("ts").alias("ts"))
+    return rows.groupBy("ref").applyInPandasWithState(step, "ref long, n long, last_id long", "n long, at long, last long", "update", GroupStateTimeout.NoTimeout)
