@@ -92,11 +92,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page
     folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     first = rows.filter(F.octet_length("payload") >= revisit_from).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    joined = rows.join(first, "sha", "left").select("key", "url", "payload", "first")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zip_.compress(p) for p in batch.column(3).to_pylist()], pa.binary())], names=["sha", "key", "url", "payload"])
+
+    # payloads are compressed for the shuffle
+    small = rows.select("sha", "key", "url", "payload").mapInArrow(packed, "sha binary, key long, url string, payload binary")
+    joined = small.join(first, "sha", "left").select("key", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
+        unzip = zstandard.ZstdDecompressor()
         context = TaskContext.get()
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
@@ -106,6 +118,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page
         with files.open_output_stream(own) as out:
             for batch in batches:
                 for k, u, body, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    body = unzip.decompress(body)
                     data = record(k, u, body, None if f is None or f == k else f)
                     size += len(data)
                     out.write(data)
