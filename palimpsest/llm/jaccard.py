@@ -7,7 +7,7 @@ one node from the start.  Then
   link if and only if they share o(a, b) = ceil(num (a + b) / (num + den)) shingles, so those with a common subset of that
   size are linked, without any further check;
 * heavy sets scan inverted lists: each set is put in the lists of the shingles of its prefix (rarest first; two linked sets share one),
-  and what meets in a list is checked on whole sets.
+  and what meets in a list is checked on whole sets, unless counts of their shingles by class already rule a link out.
 
 The boundary x is chosen by cost, from the histogram of set sizes.  The order of shingles comes from a count sketch of fixed size: any
 order gives right results, and this one keeps common passages out of prefixes.
@@ -41,6 +41,8 @@ _CELL = np.uint64(64 - 22)
 CHUNK = 1 << 16
 PAIRS = 24
 BLOCK = 512
+#: Classes that a set's shingles are counted in, to pass over pairs that differ in too many.
+_CLASSES = np.uint64(64)
 #: The largest size that the boundary may take, and relative costs of its choice.
 LARGEST_LIGHT = 40
 COST_CHECK = 40.0
@@ -105,13 +107,14 @@ def _profile(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.int64), set()
-        names = ["doc", "n", "sid", "chunk", "counts"]
+        names = ["doc", "n", "sid", "classes", "chunk", "counts"]
         for batch in batches:
-            sizes, sids, fresh = [], [], []
+            sizes, sids, classes, fresh = [], [], [], []
             for own in sets_of(batch.column(1), k):
                 sid = set_id(own)
                 sizes.append(len(own))
                 sids.append(sid)
+                classes.append(np.bincount((own % _CLASSES).astype(np.int64), minlength=int(_CLASSES)).astype(np.uint8).tobytes())
                 if sid not in seen and len(own):
                     if len(seen) < 1_000_000:
                         seen.add(sid)
@@ -120,12 +123,12 @@ def _profile(k: int):
                 cells, times = np.unique(np.concatenate(fresh), return_counts=True)
                 sketch[cells] += times
             n = len(sids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
             parts = range(SKETCH // CHUNK)
             blobs = [np.minimum(sketch[i * CHUNK : (i + 1) * CHUNK], 255).astype(np.uint8).tobytes() for i in parts]
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -268,6 +271,12 @@ def _meet(t: Threshold, x: int):
                     if t.num * int(own["n"][block == q][0]) > t.den * int(own["n"][block == p][-1]):
                         continue
                     m = own[(block == p) | (block == q)]
+                    # a pair is searched at the first shingle that both prefixes share: what stands too late for the smallest partner goes
+                    sizes = m["n"].astype(np.int64)
+                    least = np.maximum(int(sizes[0]), -(-t.num * sizes // t.den))
+                    m = m[m["place"] <= sizes - t.overlap(sizes, least)]
+                    if len(m) < 2:
+                        continue
                     out.append((np.full(len(m), 2, np.int32), m["key"].view(np.int64), m["sid"], np.full(len(m), p), np.full(len(m), q)))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.Table.from_arrays([pa.array(columns[0].astype(np.int32)), *[pa.array(c.astype(np.int64)) for c in columns[1:]]], names=["kind", "a", "b", "p", "q"])
@@ -275,6 +284,24 @@ def _meet(t: Threshold, x: int):
     return run
 
 
+def _plausible(t: Threshold):
+    """Pairs (a, b, na, nb, ca, cb) whose class counts allow a link.
+
+    Sets that share o of their shingles differ in na + nb - 2 o, and no less than their class counts do; counts are kept modulo 256, whose cyclic
+    distance is no more than the real one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(na), -1) for i in (4, 5))
+            apart = left - right
+            keep = pa.array(np.minimum(apart, -apart).sum(1, dtype=np.int64) <= na + nb - 2 * t.overlap(na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _fetch(k: int):
     """(sid, elements) of texts whose set has the id that is asked for."""
 
@@ -350,7 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     settle(spark)
     t = Threshold(num, den)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    profile = written(source.mapInArrow(_profile(k), "doc long, n long, sid long, chunk int, counts binary"))
+    profile = written(source.mapInArrow(_profile(k), "doc long, n long, sid long, classes binary, chunk int, counts binary"))
     base = profile.filter("chunk is null").select("doc", "n", "sid")
     sketch = np.zeros(SKETCH, np.int64)
     for row in profile.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
@@ -361,11 +388,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     packed = source.select("text").mapInArrow(_postings(k, t, x, level, buckets(docs)), "bucket long, entries binary")
     met = written(packed.groupBy("bucket").applyInArrow(_meet(t, x), "kind int, a long, b long, p long, q long"))
+    first = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("classes").alias("classes"))
+    first = written(first)
     pairs = met.filter("kind = 1").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(first.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("classes").alias(f"c{side}")), side)
+    pairs = written(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_plausible(t), "a long, b long"))
     members = met.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("sid"), "p", "q")
-    first = base.filter("n > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(members.select("sid")).distinct()
-    wanted = wanted.join(first, "sid")
+    wanted = wanted.join(first.select("sid", "doc"), "sid")
     sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(_fetch(k), "sid long, elements binary"))
     left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_check(t), "a long, b long")
@@ -373,6 +404,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     links = met.filter("kind = 0").select("a", "b").union(checked).union(forest)
 
     roots = components(links)
+    first = first.select("sid", "doc")
     labelled = roots.join(first, roots["node"] == first["sid"]).select("sid", "root", "doc")
     roots_doc = first.select(F.col("sid").alias("root"), F.col("doc").alias("root_doc"))
     least = labelled.groupBy("root").agg(F.min("doc").alias("least")).join(roots_doc, "root").select("root", F.least("least", "root_doc").alias("component"))
