@@ -42,7 +42,7 @@ _HEAD = struct.Struct("<QI")
 _CHECK = struct.Struct("<I")
 _KEY = struct.Struct("<qB")
 #: Entries of one worker's dictionary of chunks; it is emptied beyond that.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_600_000
 
 #: Texts that take the short way have single blanks between words and common Latin characters only.
 _UNCOMMON = re.compile("[^\n\x20-\x7e¡-¬®-ÿ]|[ \n][ \n]|^[ \n]|[ \n]$")
