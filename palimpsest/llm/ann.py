@@ -30,7 +30,7 @@ from .common import shared_dir, written
 
 TRAIN = 10_000
 SUBSPACE = 2
-RERANK = 128
+RERANK = 384
 BLOCK = 1 << 16
 QUERY_BATCH = 256
 #: Weight of the parallel residual for a score threshold of 0.2: (d - 1) T^2 / (1 - T^2).
