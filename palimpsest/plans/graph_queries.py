@@ -159,6 +159,15 @@ def is_ancestor_pairs(spark, sf):
     return asked.join(known, ["a", "b"], "left").select("a", "b", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
 
 
+@query()
+def is_ancestor_pairs_all(spark, sf):
+    """Whether a branch reaches a commit of another branch of its group, for all commits."""
+    left = commits(spark, sf).select(F.col("oid").alias("a"), "grp", F.col("branch").alias("own"))
+    asked = left.join(heads(spark, sf).withColumnRenamed("oid", "b"), "grp").filter("own <> branch").select("a", "b")
+    known = closure(spark, sf).select(F.col("tip").alias("b"), F.col("oid").alias("a"), F.lit(True).alias("yes"))
+    return asked.join(known, ["a", "b"], "left").select("a", "b", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
+
+
 _BRANCH_AT = "commits.oid % 50 = 0"
 
 
@@ -179,6 +188,21 @@ def no_contains(spark, sf):
     return asked.join(tips, "grp").join(closure(spark, sf), ["tip", "oid"], "left_anti").select("oid", "branch")
 
 
+@query()
+def branch_contains_all(spark, sf):
+    """Branches that contain each commit."""
+    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "branch")
+    return closure(spark, sf).join(tips, "tip").select("oid", "branch")
+
+
+@query()
+def no_contains_all(spark, sf):
+    """Branches of each commit's group that don't contain it."""
+    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "grp", "branch")
+    asked = commits(spark, sf).select("oid", "grp")
+    return asked.join(tips, "grp").join(closure(spark, sf), ["tip", "oid"], "left_anti").select("oid", "branch")
+
+
 @query(GRAPH + "SELECT x.branch, y.branch AS into_branch FROM heads x JOIN heads y ON x.grp = y.grp AND x.branch <> y.branch JOIN closure ON tip = y.oid AND closure.oid = x.oid")
 def branch_merged(spark, sf):
     """Branches whose tip another branch of the group reaches."""
