@@ -100,6 +100,14 @@ def reflog_as_of(spark, sf):
     return log.as_of(r, probes)
 
 
+@query()
+def reflog_as_of_all(spark, sf):
+    """Values of references at given times, one asked for each entry."""
+    r = reflog(spark, sf)
+    probes = r.select(((F.col("ref") + 1) % 150).alias("ref"), F.col("new_id").alias("probe"), (F.col("ts") - 3600).alias("at"))
+    return log.as_of(r, probes)
+
+
 @query(REFLOG + ", n AS (SELECT max(ts) AS now FROM reflog) SELECT ref, seq, new_id FROM reflog, n WHERE now - ts <= 864000 AND (action <> 'error' OR now - ts <= 259200)")
 def reflog_expire(spark, sf):
     """Entries that expiry leaves, unreachable ones going sooner."""

@@ -49,7 +49,7 @@ def test_query(spark, duck, name):
     assert got == expected
 
 
-WHOLE = {"is_ancestor_pairs": " WHERE x.oid % 10 = 0", "branch_contains": " WHERE commits.oid % 50 = 0", "no_contains": "commits.oid % 50 = 0\n  AND "}
+WHOLE = {"is_ancestor_pairs": " WHERE x.oid % 10 = 0", "branch_contains": " WHERE commits.oid % 50 = 0", "no_contains": "commits.oid % 50 = 0\n  AND ", "reflog_as_of": " WHERE new_id % 37 = 0"}
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
