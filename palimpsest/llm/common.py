@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed limits of one Arrow batch, so that very long texts don't gather in a Python worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir where that is set; only without one (as in tests on a
-    single machine) a temporary folder is made and set as the checkpoint folder.
+    It is spark.checkpoint.dir where that is set; only without one, and with a local master (as in tests), a temporary
+    folder is made and set as the checkpoint folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
@@ -42,6 +47,31 @@ def settle(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run):
+    """run, an Arrow function, whose worker gives its free memory back at the end of each task.
+
+    Workers serve many stages; without this each keeps the most that any of them took.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Gives unused memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

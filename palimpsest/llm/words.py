@@ -8,6 +8,8 @@ Null texts have no words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,19 +37,44 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BYTE = _BYTE[_LOWER]
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("p", _P), ("i", _PINV)):
-            steps = np.full(size, _U(base & _MASK), dtype=_U)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["p"], _POWERS["i"]
+_BYTE[_SEP] = 0
+#: Bytes that are hashed at once, with the powers of the hash's base and of its inverse for them.
+STEP = 1 << 16
+with np.errstate(over="ignore"):
+    _POWER, _INVERSE = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(STEP, _U(base & _MASK), _U)])) for base in (_P, _PINV))
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word data[start : end], some 64 KB at a time, so that memory doesn't follow the size of a batch or a word."""
+    out = np.empty(len(start), _U)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            base = start[i]
+            j = int(np.searchsorted(end, base + STEP, side="right"))
+            if j > i:
+                values = _BYTE[data[base : end[j - 1]]]
+                values *= _POWER[: len(values)]
+                begin = start[i:j] - base
+                out[i:j] = np.add.reduceat(values, begin) * _INVERSE[begin]
+                i = j
+            else:  # a word of more than STEP bytes
+                total, scale = _U(0), _U(1)
+                for at in range(base, end[i], STEP):
+                    part = _BYTE[data[at : min(at + STEP, end[i])]]
+                    total += (part * _POWER[: len(part)]).sum(dtype=_U) * scale
+                    scale *= _POWER[STEP]
+                out[i] = total
+                i += 1
+    return mix(out)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of about `most` bytes of text, as arrays over each byte take many times that."""
+    group = text_buffers(batch.column(column))[1][:-1] // most
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
+    for i, j in zip(cut, [*cut[1:], len(group)][: len(cut)], strict=True):
+        yield batch.slice(i, j - i)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +115,7 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     per_text = np.searchsorted(start, offsets)
     if len(start) == 0:
         return np.zeros(0, _U), start, end, per_text
-    power, inverse = _powers(n)
-    values = _BYTE[data]
-    values[sep] = 0
-    values *= power[:n]
-    hashed = np.add.reduceat(values, start)
-    hashed *= inverse[start]
-    return mix(hashed), start, end, per_text
+    return _word_hashes(data, start, end), start, end, per_text
 
 
 def shingles(hashed: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
