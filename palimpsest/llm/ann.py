@@ -7,13 +7,14 @@ errors along the vector harm the scores that matter most.  Two codes make a byte
 256-entry table for each byte.  The RERANK best of the scan are measured exactly, in double precision.
 
 Equal vectors are one class in the index: a class holds its k + 1 smallest ids, which is all that a result can name, so a
-vector that a third of all rows repeat costs one code.  Queries read the code table block by block and the query table
-batch by batch from the shared folder: neither is broadcast, and nothing grows in a task but one block and one batch.
+vector that a third of all rows repeat costs one code.  The index is dealt out in parts of about BLOCK vectors, whatever the partitions
+of the input are, and each part gives its RERANK best of each query.  Queries are read batch by batch from the shared folder:
+neither side is broadcast, and a task holds one part and one batch.
 
 Training takes the TRAIN vectors with the smallest hash of their id; every vector is indexed.
 
 Defined results: vectors that are null, empty, zero, of another length than the most frequent one, or hold null or non-finite
-components take no part; equal distances go to smaller ids; a repeated (id, vector) row counts once;
+components take no part; components count as doubles, and a float is the double that it equals; equal distances go to smaller ids; a repeated (id, vector) row counts once;
 with fewer candidates than k all are returned; an empty table has no results.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, tidy, written
 
 TRAIN = 10_000
 SUBSPACE = 2
@@ -119,61 +120,53 @@ class Quantiser:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _codes(reps: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """Blocks of the index: ids, codes and half squared norms, packed."""
+def _codes(reps: DataFrame, quantiser: Quantiser, scale: float) -> DataFrame:
+    """The index: ids, codes and half squared norms of the vectors, packed by batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(held):
-            ids, codes, norms = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "norms": [norms.tobytes()]})
-
-        held, n = [], 0
         for batch in batches:
-            x = _matrix(batch.column(1))
-            held.append((batch.column(0).to_numpy(), quantiser.encode(x), ((x.astype(np.float64) ** 2).sum(1) / 2).astype(np.float32)))
-            n += len(x)
-            if n >= BLOCK:
-                yield pack(held)
-                held, n = [], 0
-        if held:
-            yield pack(held)
+            x = _matrix(batch.column(1)) / scale
+            norms = ((x**2).sum(1) / 2).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"ids": [batch.column(0).to_numpy().tobytes()], "codes": [quantiser.encode(x).tobytes()], "norms": [norms.tobytes()]})
 
     return reps.select("rep", "vector").mapInArrow(run, "ids binary, codes binary, norms binary")
 
 
-def _scan(blocks: DataFrame, folder: str, quantiser: Quantiser, width: int) -> DataFrame:
-    """(query, rep, approx): the RERANK best of each block for each query of the files in folder."""
+def _scan(packed: DataFrame, folder: str, quantiser: Quantiser, scale: float, width: int) -> DataFrame:
+    """(query, rep, approx): for each query of the files in folder the `width` best of each partition of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        if not rows:
+            return
+        ids, norms = (np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("ids", np.int64), ("norms", np.float32)))
+        codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(-1, quantiser.parts // 2) for r in rows])
+        # in the order of ids, so that ties don't depend on how the rows were dealt
+        order = np.argsort(ids)
+        ids, norms, codes = ids[order], norms[order], np.ascontiguousarray(codes[order].T)
         store, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids))
-                norms = np.frombuffer(row["norms"], np.float32)
-                for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
-                    with store.open_input_file(name) as stream:
-                        for part in pq.ParquetFile(stream).iter_batches(QUERY_BATCH, columns=["rep", "vector"]):
-                            tables = quantiser.tables(_matrix(part.column(1)))
-                            out_q, out_r, out_s = [], [], []
-                            for q, table in zip(part.column(0).to_pylist(), tables, strict=True):
-                                s = -norms
-                                for byte, entries in zip(codes, table, strict=True):
-                                    s = s + entries[byte]
-                                top = np.arange(len(s)) if len(s) <= width else np.argpartition(-s, width - 1)[:width]
-                                out_q.append(np.full(len(top), q))
-                                out_r.append(ids[top])
-                                out_s.append(s[top])
-                            if out_q:
-                                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_r), pa.int64()), pa.array(np.concatenate(out_s), pa.float32())], names=["query", "rep", "approx"])
-
-    return blocks.mapInArrow(run, "query long, rep long, approx float")
+        for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
+            with store.open_input_file(name) as stream:
+                for part in pq.ParquetFile(stream).iter_batches(QUERY_BATCH, columns=["rep", "vector"]):
+                    out_r, out_s = [], []
+                    for table in quantiser.tables(_matrix(part.column(1)) / scale):
+                        s = -norms
+                        for byte, entries in zip(codes, table, strict=True):
+                            s += entries[byte]
+                        top = np.arange(len(s)) if len(s) <= width else np.argpartition(-s, width - 1)[:width]
+                        out_r.append(ids[top])
+                        out_s.append(s[top])
+                    if out_r:
+                        query = np.repeat(part.column(0).to_numpy(), [len(x) for x in out_r])
+                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate(out_r), pa.int64()), pa.array(np.concatenate(out_s), pa.float32())], names=["query", "rep", "approx"])
+
+    return packed.mapInArrow(tidy(run), "query long, rep long, approx float")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
@@ -182,14 +175,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     is_query is a condition over the column `id`.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector")).filter(F.col("id").isNotNull() & valid(F.col("vector")))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & valid(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], result)
     rows = rows.filter(F.size("vector") == sizes[0]["d"])
     # -0.0 and 0.0 are one value; equal vectors are one class of at most k + 1 kept ids
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0).cast("float")))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     per_class = Window.partitionBy("vector").orderBy("id")
     ids = rows.distinct()
     kept = ids.withColumn("rn", F.row_number().over(per_class)).filter(F.col("rn") <= k + 1)
@@ -197,17 +190,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     reps = kept.filter("rn = 1").select("rep", "vector")
     asked = written(ids.filter(is_query).join(reps, "vector").select(F.col("id").alias("query_id"), "rep", "vector"))
 
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).collect()
-    quantiser = Quantiser(np.array([r["vector"] for r in sample], np.float32))
+    sample = np.array([r["vector"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).collect()])
+    scale = float(np.abs(sample).max())
+    quantiser = Quantiser(sample / scale)
     folder = shared_dir(spark)
     asked.select("rep", "vector").dropDuplicates(["rep"]).write.parquet(folder)
 
-    blocks = written(_codes(reps, quantiser))
-    scanned = _scan(blocks, folder, quantiser, rerank)
+    # the index in parts of about BLOCK vectors, whatever the partitions of the input were
+    packed = written(_codes(reps, quantiser, scale))
+    scanned = _scan(packed.repartition(-(-reps.count() // BLOCK)), folder, quantiser, scale, rerank)
     best = Window.partitionBy("query").orderBy(F.desc("approx"), "rep")
     pairs = scanned.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= rerank).select("query", "rep")
     pairs = pairs.join(reps, "rep").join(spark.read.parquet(folder).select(F.col("rep").alias("query"), F.col("vector").alias("own")), "query")
-    square = F.aggregate(F.zip_with("vector", "own", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    square = F.aggregate(F.zip_with("vector", "own", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     measured = pairs.select("query", "rep", F.sqrt(square).alias("score"))
     near = Window.partitionBy("query").orderBy("score", "rep")
     classes = measured.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k + 1).select("query", "rep", "score")
