@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -30,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, shared_dir, written
+from .common import buckets, shared_dir, tidy, written
 
 #: Fixed values of the file format.
 _MASK_DELTA = 0xA282EAD8
@@ -41,11 +41,14 @@ _NULL_KEY = -(1 << 63)
 _HEAD = struct.Struct("<QI")
 _CHECK = struct.Struct("<I")
 _KEY = struct.Struct("<qB")
-#: Entries of one worker's dictionary of chunks; it is emptied beyond that.
-CACHE_ENTRIES = 1_600_000
+#: Bytes of chunks and ids that one worker keeps; with more it keeps those of its last texts only.
+CACHE_BYTES = 40 << 20
+#: Bytes of text that are encoded at once, and chunks that go to the library in one string.
+TEXT_BYTES = 8 << 20
+JOINED = 1000
 
 #: Texts that take the short way have single blanks between words and common Latin characters only.
-_UNCOMMON = re.compile("[^\n\x20-\x7e¡-¬®-ÿ]|[ \n][ \n]|^[ \n]|[ \n]$")
+_UNCOMMON = "[^\n\x20-\x7e¡-¬®-ÿ]|[ \n][ \n]|\\A[ \n]|[ \n]\\z"
 
 
 def masked_crc(data: bytes) -> int:
@@ -57,8 +60,8 @@ def masked_crc(data: bytes) -> int:
 class ChunkEncoder:
     """The tokenizers library behind a dictionary of blank-led chunks.
 
-    The byte-level pre-tokeniser always cuts before a single blank or line end between
-    visible characters, so such chunks are encoded independently of each other.
+    The byte-level pre-tokeniser always cuts before a single blank or line end between visible characters, so such chunks are
+    encoded independently of each other.  Texts are dictionary-encoded by chunks; only chunks that are not known yet go to the library.
     """
 
     def __init__(self, path: str):
@@ -68,42 +71,74 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bool:
-        return _UNCOMMON.search(text) is None and not any(a in text for a in self.added)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        names = {i: name for name, i in self.library.get_vocab().items()}
+        #: Whether a token begins with a blank or a line end, in the file's byte characters.
+        self.leads = np.array([names.get(i, "")[:1] in ("Ġ", "Ċ") for i in range(max(names) + 1)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.packed = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and the ids: \r marks a text's first chunk, a blank is left out before others but \n."""
+        ids = [np.zeros(0, self.kind)] * len(chunks)
+        first = [i for i, c in enumerate(chunks) if c[0] == "\r"]
+        for i, e in zip(first, self.library.encode_batch_fast([chunks[i][1:] for i in first], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, self.kind)
+        rest = [i for i, c in enumerate(chunks) if c[0] != "\r"]
+        for at in range(0, len(rest), 20 * JOINED):
+            parts = [rest[j : j + JOINED] for j in range(at, min(at + 20 * JOINED, len(rest)), JOINED)]
+            texts = ["".join([c if c[0] == "\n" else " " + c for c in map(chunks.__getitem__, part)]) for part in parts]
+            for part, e in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                own = np.array(e.ids, self.kind)
+                cut = np.flatnonzero(self.leads[own])
+                if len(cut) != len(part):
+                    raise ValueError("the vocabulary joins chunks")
+                for i, b, j in zip(part, cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True):
+                    ids[i] = own[b:j]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.zeros(0, self.kind), *ids])
+
+    def encode_all(self, column: pa.Array) -> list[bytes]:
         """The ids of each text as bytes of self.kind."""
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _UNCOMMON)
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        odd = odd.to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy()
         out: list[bytes] = [b""] * len(texts)
-        chunked: dict[int, list[str]] = {}
-        whole = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self._plain(text):
-                # a blank before each chunk but a text's first; \r, which such texts lack, marks the latter
-                chunked[i] = ("\r" + text.replace("\n", " \n")).split(" ")
-            else:
-                whole.append(i)
-        known = self.known
-        new: set[str] = set()
-        for chunks in chunked.values():
-            new.update(chunks)
-        new.difference_update(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = set().union(*chunked.values())
-        order = list(new)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            plain = [c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c for c in part]
-            for c, e in zip(part, self.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.kind).tobytes()
-        for i, chunks in chunked.items():
-            out[i] = b"".join(map(known.__getitem__, chunks))
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
+        for i in np.flatnonzero(odd & (size > 0)).tolist():
+            out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.kind).tobytes()
+        plain = np.flatnonzero(~odd & (size > 0))
+        if not len(plain):
+            return out
+        # a blank before each chunk but a text's first; \r, which such texts lack, marks the latter
+        marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\r", pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), "")))
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(place.is_null())
+        counts, ids = self._encode(fresh.to_pylist())
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        at[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        self.packed = np.concatenate([self.packed, ids])
+        index = at[coded.indices.to_numpy()]
+        each = np.diff(self.begin)[index]
+        ends = np.cumsum(each)
+        # the place of each id: its chunk's begin, and one more for each id of the chunk before it
+        flat = self.packed[np.repeat(self.begin[index] - (ends - each), each) + np.arange(ends[-1])]
+        text_end = ends[np.cumsum(split.value_lengths().to_numpy()) - 1].tolist()
+        for i, b, e in zip(plain.tolist(), [0, *text_end[:-1]], text_end, strict=True):
+            out[i] = flat[b:e].tobytes()
+        if self.known.nbytes + self.begin.nbytes + self.packed.nbytes > CACHE_BYTES:
+            each, begin = np.diff(self.begin)[at], self.begin[at]
+            ends = np.cumsum(each)
+            packed = self.packed[np.repeat(begin - (ends - each), each) + np.arange(ends[-1])]
+            self._forget()
+            if coded.dictionary.nbytes + packed.nbytes < CACHE_BYTES // 2:
+                self.known, self.begin, self.packed = coded.dictionary, np.concatenate([[0], ends]), packed
         return out
 
 
@@ -143,6 +178,19 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of batches, joined up to TEXT_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= TEXT_BYTES:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+
 def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes texts, appends end_id to each, and writes files in ascending order of the key.
 
@@ -167,9 +215,9 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
         offset = total = 0
         index: list[np.ndarray] = []
         with files.open_output_stream(f"{own}.bin") as out:
-            for batch in batches:
+            for keys, texts in gathered(batches):
                 rows = []
-                for k, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
+                for k, ids in zip(keys.to_pylist(), bpe.encode_all(texts), strict=True):
                     record = frame(k, ids + end, width)
                     count = (len(ids) + width) // width
                     rows.append((_NULL_KEY if k is None else k, offset, count))
@@ -189,7 +237,7 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
         yield pa.RecordBatch.from_pydict({"file_no": [number], "folder": [folder], "name": [name], "n_docs": [n_docs], "n_tokens": [total]})
 
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    return written(ordered.mapInArrow(run, "file_no long, folder string, name string, n_docs long, n_tokens long"))
+    return written(ordered.mapInArrow(tidy(run), "file_no long, folder string, name string, n_docs long, n_tokens long"))
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
