@@ -21,6 +21,7 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,8 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of each of the three dictionaries of one worker; one is emptied beyond that.
-CACHE_ENTRIES = 500_000
+from .common import tidy
+
+#: Bytes of each of the three dictionaries of one worker, which is emptied beyond that; the longest key that they keep.
+CACHE_BYTES = 40 << 20
+CACHE_KEY = 48
+#: About what an entry takes besides its key and its value.
+_ENTRY_BYTES = 220
+#: Fragments of more characters are merged by a heap.
+HEAP_FROM = 40
 
 _NEVER = 1 << 60
 
@@ -51,16 +59,20 @@ def _byte_characters() -> list[str]:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks and starts anew when full."""
+    """A dictionary that computes what it lacks and starts anew when full; long keys aren't kept."""
 
-    def __init__(self, compute, entries: int = CACHE_ENTRIES):
+    def __init__(self, compute, size=len):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.size, self.held = compute, size, 0
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if (n := self.size(key)) <= CACHE_KEY:
+            self.held += n + 8 * len(value) + _ENTRY_BYTES
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[key] = value
         return value
 
 
@@ -87,8 +99,8 @@ class ForcedBoundaryBPE:
         for name in self.vocab:
             body = name[: -len(self.suffix)] if self.suffix and name.endswith(self.suffix) and len(name) > len(self.suffix) else name
             self.joined.update(map("".join, zip(body, body[1:], strict=False)))
-        self._fragment = _Memo(self._merge, CACHE_ENTRIES // 2)
-        self._piece = _Memo(lambda piece: self.encode_piece(piece.encode().decode("latin-1").translate(self._table)), CACHE_ENTRIES // 2)
+        self._fragment = _Memo(self._merge, lambda key: len(key[0]))
+        self._piece = _Memo(lambda piece: self.encode_piece(piece.encode().decode("latin-1").translate(self._table)))
         self._chunk = _Memo(self._encode_chunk)
 
     def cuts(self, piece: str) -> list[str]:
@@ -102,6 +114,8 @@ class ForcedBoundaryBPE:
         parts = list(fragment)
         if last:
             parts[-1] += self.suffix
+        if len(parts) > HEAP_FROM:
+            return self._merge_by_heap(parts)
         rank = self.rank.get
         ranks = [rank(pair, _NEVER) for pair in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NEVER:
@@ -114,12 +128,35 @@ class ForcedBoundaryBPE:
                 ranks[i] = rank((parts[i], parts[i + 1]), _NEVER)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def _merge_by_heap(self, parts: list[str]) -> list[int]:
+        """As _merge does it, in n log n: a heap of (rank, place) over a linked list; entries whose pair has changed are passed over."""
+        rank = self.rank.get
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or not parts[i] or rank((parts[i], parts[j])) != r:
+                continue
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (k := before[i]) >= 0 and (r := rank((parts[k], parts[i]))) is not None:
+                heapq.heappush(heap, (r, k))
+        return [self.vocab[p] for p in parts if p in self.vocab]
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-tokenised piece, given in byte characters."""
         *inner, final = self.cuts(piece)
-        ids = self._fragment[final, True]
-        for fragment in reversed(inner):
-            ids = self._fragment[fragment, False] + ids
+        ids: list[int] = []
+        for fragment in inner:
+            ids += self._fragment[fragment, False]
+        ids += self._fragment[final, True]
         return ids
 
     def _encode_chunk(self, chunk: str) -> bytes:
@@ -198,4 +235,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)
