@@ -64,10 +64,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that repeat one of a document of a smaller doc_id, with that document."""
+    """Passages of 50 words and more that repeat those of documents of smaller doc_ids: one row a passage, with the smallest source."""
     from .substring import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"), F.col("source").alias("source_doc_id"), F.col("source_begin").alias("source_begin_word"))
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"), F.col("source").alias("source_doc_id"), F.col("source_begin").alias("source_begin_word"), "n_sources")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
