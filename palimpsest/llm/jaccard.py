@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, settle, written
+from .common import buckets, settle, tidy, written
 from .components import components
-from .words import mix, shingles, text_buffers, word_table
+from .words import mix, shingles, slices, text_buffers, word_table
 
 SKETCH = 1 << 22
 #: Bits of a shingle's hash that don't choose its cell.
@@ -41,8 +41,9 @@ _CELL = np.uint64(64 - 22)
 CHUNK = 1 << 16
 PAIRS = 24
 BLOCK = 512
-#: Bits of an element that aren't sent for the check of a pair.
-_SENT = np.uint64(32)
+#: Sets that a task remembers to pass over their copies, and entries that it holds before it deals them out.
+SEEN = 100_000
+HELD = 200_000
 #: Classes that a set's shingles are counted in, to pass over pairs that differ in too many.
 _CLASSES = np.uint64(64)
 #: The largest size that the boundary may take, and relative costs of its choice.
@@ -108,9 +109,9 @@ def _profile(k: int):
     """Rows of (doc, n, sid), then the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(SKETCH, np.int64), set()
+        sketch, seen = np.zeros(SKETCH, np.uint32), set()
         names = ["doc", "n", "sid", "classes", "chunk", "counts"]
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1)):
             sizes, sids, classes, fresh = [], [], [], []
             for own in sets_of(batch.column(1), k):
                 sid = set_id(own)
@@ -118,12 +119,12 @@ def _profile(k: int):
                 sids.append(sid)
                 classes.append(np.bincount((own % _CLASSES).astype(np.int64), minlength=int(_CLASSES)).astype(np.uint8).tobytes())
                 if sid not in seen and len(own):
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(sid)
                     fresh.append((own >> _CELL).astype(np.int64))
             if fresh:
                 cells, times = np.unique(np.concatenate(fresh), return_counts=True)
-                sketch[cells] += times
+                sketch[cells] += times.astype(np.uint32)
             n = len(sids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
@@ -182,14 +183,14 @@ def _postings(k: int, t: Threshold, x: int, level: np.ndarray, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
         for batch in batches:
-            for own in sets_of(batch.column(0), k):
+            for own in (own for part in slices(batch, 0) for own in sets_of(part.column(0), k)):
                 s = len(own)
                 if not s:
                     continue
                 sid = set_id(own)
                 if sid in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(sid)
                 if s <= x:
                     mixed = mix(own)
@@ -211,7 +212,7 @@ def _postings(k: int, t: Threshold, x: int, level: np.ndarray, n_buckets: int):
                     entry["key"], entry["sid"], entry["n"], entry["place"] = mix(ranked), sid, s, np.arange(len(ranked))
                     held.append(entry)
                     count += len(entry)
-            if count > 400_000:
+            if count > HELD:
                 yield from flush(held)
                 held, count = [], 0
         if held:
@@ -305,22 +306,18 @@ def _plausible(t: Threshold):
 
 
 def _fetch(k: int):
-    """(sid, elements) of texts whose set has the id that is asked for.
-
-    Elements are sent as the upper 32 bits of their hashes.  No link is lost by that; one is wrongly made only where a pair is one shingle short of
-    the threshold and two of its unshared shingles agree in those bits, for sets of 400 shingles about once in 10^9 pairs.
-    """
+    """(sid, elements) of texts whose set has the id that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows that repeat a document give its set once in a task
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1)):
             sids, blobs = [], []
             for want, own in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), k), strict=True):
                 if want not in seen and set_id(own) == want:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(want)
                     sids.append(want)
-                    blobs.append((own >> _SENT).astype("<u4").tobytes())
+                    blobs.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], names=["sid", "elements"])
 
     return run
@@ -331,7 +328,7 @@ def _check(t: Threshold):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), "<u4"), np.frombuffer(right.as_buffer(), "<u4")
+                x, y = np.frombuffer(left.as_buffer(), "<u8"), np.frombuffer(right.as_buffer(), "<u8")
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 keep.append(int((y[at] == x).sum()) >= t.overlap(len(x), len(y)) if len(y) else False)
@@ -346,7 +343,7 @@ def _forest(t: Threshold):
 
     def run(table: pa.Table) -> pa.Table:
         sids = table.column("sid").to_numpy()
-        own = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("elements").combine_chunks()]
+        own = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("elements").combine_chunks()]
         n = np.array([len(x) for x in own], np.int64)
         flat = np.concatenate(own)
         values, index = np.unique(flat, return_inverse=True)
@@ -383,7 +380,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     settle(spark)
     t = Threshold(num, den)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    profile = written(source.mapInArrow(_profile(k), "doc long, n long, sid long, classes binary, chunk int, counts binary"))
+    profile = written(source.mapInArrow(tidy(_profile(k)), "doc long, n long, sid long, classes binary, chunk int, counts binary"))
     base = profile.filter("chunk is null").select("doc", "n", "sid")
     sketch = np.zeros(SKETCH, np.int64)
     for row in profile.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
@@ -392,7 +389,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     x = boundary(histogram, t)
     level = np.minimum(levels(sketch), 31)
 
-    packed = source.select("text").mapInArrow(_postings(k, t, x, level, buckets(docs)), "bucket long, entries binary")
+    packed = source.select("text").mapInArrow(tidy(_postings(k, t, x, level, buckets(docs))), "bucket long, entries binary")
     met = written(packed.groupBy("bucket").applyInArrow(_meet(t, x), "kind int, a long, b long, p long, q long"))
     first = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("classes").alias("classes"))
     first = written(first)
@@ -403,9 +400,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     members = met.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("sid"), "p", "q")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(members.select("sid")).distinct()
     wanted = wanted.join(first.select("sid", "doc"), "sid")
-    sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(_fetch(k), "sid long, elements binary"))
+    sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(tidy(_fetch(k)), "sid long, elements binary"))
     left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_check(t), "a long, b long")
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_check(t)), "a long, b long")
     forest = members.join(sets, "sid").groupBy("list", "p", "q").applyInArrow(_forest(t), "a long, b long")
     links = met.filter("kind = 0").select("a", "b").union(checked).union(forest)
 

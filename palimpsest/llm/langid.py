@@ -10,8 +10,9 @@ Calibration: a temperature fitted on samples that training didn't see, then a re
 threshold: the QUANTILE-th score of their right predictions, at most CEILING.  A prediction
 below the threshold, or one of `und`, is rejected.
 
-Training takes a bounded sample: the TRAIN_DOCS rows with the smallest hash of their key, and of each
-TRAIN_GRAMS n-grams spread evenly over its whole text.  Prediction reads whole texts.
+Training takes a bounded sample: the TRAIN_DOCS rows with the smallest hash of their key and text.  Tasks count the n-grams of their
+whole texts; the driver gets these counts, packed.  Half of the steps take whole texts, the others draws of a few n-grams of
+them, so that short texts are known as well.  Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is `und` with score 0; so is every text when
 there is nothing to learn from.  Rows that repeat are predicted each; extra columns are ignored.
@@ -19,6 +20,7 @@ there is nothing to learn from.  Rows that repeat are predicted each; extra colu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import text_buffers
 
-TRAIN_DOCS = 6000
-TRAIN_GRAMS = 384
+TRAIN_DOCS = 3000
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (3, 4, 5)
@@ -60,16 +62,28 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: One n-gram bucket of a text and how often it stands there.
+_COUNT = np.dtype([("gram", "<u2"), ("times", "<u4")])
+
+
+def counts(data: np.ndarray) -> np.ndarray:
+    """The n-gram counts of one text, by bucket; long texts in pieces, which share no n-gram."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(data), 1 << 18):
+        for g in grams(data[at : at + (1 << 18)]):
+            total += np.bincount(g, minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    out = np.zeros(len(some), _COUNT)
+    out["gram"], out["times"] = some, total[some]
+    return out
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, packed counts, h) of (lang, text, h) rows."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
-        rows = []
-        for begin, end in zip(offsets[:-1], offsets[1:], strict=True):
-            own = np.stack(grams(data[begin:end]), 1).ravel() if end > begin else np.zeros(0, np.int32)
-            if len(own) > TRAIN_GRAMS:
-                own = own[np.linspace(0, len(own) - 1, TRAIN_GRAMS).astype(int)]
-            rows.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["lang", "grams"])
+        packed = [zlib.compress(counts(data[b:e]).tobytes(), 1) for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["lang", "grams", "h"])
 
 
 @dataclass
@@ -82,14 +96,15 @@ class Model:
     threshold: float
 
 
-def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 8, rate: float = 0.5, batch: int = 32) -> Model:
-    """Trains on (language, n-gram buckets) rows; every fifth row calibrates."""
-    rows = [(lang, g) for lang, g in rows if len(g)]
-    languages = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate: float = 0.5, batch: int = 32) -> Model:
+    """Trains on (language, n-gram counts) rows; every fifth row calibrates."""
+    rows = [(lang, g["gram"].astype(np.int32), g["times"].astype(np.float64)) for lang, g in rows if len(g)]
+    languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     random = np.random.default_rng(seed)
-    label = np.array([languages.index(lang) for lang, _ in rows])
+    label = np.array([languages.index(lang) for lang, _, _ in rows])
+    shares = [np.cumsum(t) / t.sum() for _, _, t in rows]
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 25 else np.zeros(len(rows), bool)
     embed = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight = random.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32)
@@ -103,26 +118,30 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 8, rate
             pick = order[at : at + batch]
             lr = rate * (1 - step / steps)
             step += 1
-            # pieces of many lengths, so that short texts are known as well
-            pieces = []
+            # whole texts, or draws of many lengths
+            whole = random.random() < 0.5
+            pieces, weights = [], []
             for i in pick:
-                g = rows[i][1]
-                n = min(len(g), int(2 ** random.uniform(3, 9)))
-                b = random.integers(0, len(g) - n + 1)
-                pieces.append(g[b : b + n])
+                if whole:
+                    pieces.append(rows[i][1])
+                    weights.append(rows[i][2] / rows[i][2].sum())
+                else:
+                    n = int(2 ** random.uniform(3, 9))
+                    pieces.append(rows[i][1][np.searchsorted(shares[i], random.random(n))])
+                    weights.append(np.full(n, 1 / n))
             sizes = np.array([len(p) for p in pieces])
-            flat = np.concatenate(pieces)
+            flat, share = np.concatenate(pieces), np.concatenate(weights).astype(np.float32)
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mean = np.add.reduceat(embed[flat], begin, axis=0) / sizes[:, None].astype(np.float32)
+            mean = np.add.reduceat(embed[flat] * share[:, None], begin, axis=0)
             z = mean @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), label[pick]] -= 1
             p /= len(pick)
-            back = (p @ weight.T) / sizes[:, None]
+            back = p @ weight.T
             weight -= lr * (mean.T @ p)
             bias -= lr * p.sum(0)
-            spread = np.repeat(back.astype(np.float32), sizes, axis=0)
+            spread = np.repeat(back.astype(np.float32), sizes, axis=0) * share[:, None]
             order_in = np.argsort(flat, kind="stable")
             flat_in = flat[order_in]
             cut = np.flatnonzero(np.concatenate([[True], flat_in[1:] != flat_in[:-1]]))
@@ -130,8 +149,12 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 8, rate
             embed[flat_in[cut]] -= lr * len(pick) * np.add.reduceat(spread[order_in], cut, axis=0) * 8
     logits = embed @ weight
     check = np.flatnonzero(held) if held.any() else train
-    short = [rows[i][1][: max(8, 24 * (j % 8))] if j % 2 else rows[i][1] for j, i in enumerate(check)]
-    z = np.stack([logits[g].mean(0) + bias for g in short])
+    z = np.zeros((len(check), len(languages)))
+    for j, i in enumerate(check):  # short draws and whole texts in turn
+        if j % 2:
+            z[j] = logits[rows[i][1][np.searchsorted(shares[i], random.random(max(8, 24 * (j % 8))))]].mean(0) + bias
+        else:
+            z[j] = rows[i][2] @ logits[rows[i][1]] / rows[i][2].sum() + bias
     best, heat = np.inf, 1.0
     for t in np.geomspace(0.2, 8, 40):
         y = z / t
@@ -150,35 +173,17 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 8, rate
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fits a model on the bounded sample of rows with a text and a language."""
     rows = docs.filter(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    # about TRAIN_DOCS rows have a hash below this bound, so that tasks send few others; a margin makes sure of enough
+    rows = rows.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    # about TRAIN_DOCS rows have a hash below this bound, so that few others are counted; a margin makes sure of enough
     n = rows.count()
     share = min(1.0, 1.2 * (TRAIN_DOCS + 200) / max(n, 1))
     rows = rows.filter(F.col("h") <= int((1 << 64) * share) - (1 << 63) - 1)
-    picked = rows.select("lang", "text", "h").mapInArrow(_sample_hashed, "lang string, grams array<int>, h long").orderBy("h", "lang").limit(TRAIN_DOCS)
-    return fit([(r["lang"], np.array(r["grams"], np.int32)) for r in picked.collect()])
-
-
-def _sample_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of the rows of a task that can be among the smallest TRAIN_DOCS hashes."""
-    held: list[tuple[int, str, np.ndarray]] = []
-    limit = None
-    for batch in batches:
-        h = batch.column(2).to_numpy()
-        keep = np.flatnonzero(h <= limit) if limit is not None else np.arange(len(h))
-        if not len(keep):
-            continue
-        part = batch.take(pa.array(keep))
-        out = next(_sample_grams(iter([pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["lang", "text"])])))
-        held += zip(part.column(2).to_pylist(), out.column(0).to_pylist(), (np.array(g, np.int32) for g in out.column(1).to_numpy(zero_copy_only=False)), strict=True)
-        if len(held) > 2 * TRAIN_DOCS:
-            held.sort(key=lambda x: x[:2])
-            del held[TRAIN_DOCS:]
-            limit = held[-1][0]
-    held.sort(key=lambda x: x[:2])
-    held = held[:TRAIN_DOCS]
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.string()), pa.array([x[2] for x in held], pa.list_(pa.int32())), pa.array([x[0] for x in held], pa.int64())], names=["lang", "grams", "h"])
+    last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).collect()[0][0]
+    if last is None:
+        return fit([])
+    picked = rows.filter(F.col("h") <= last).select("lang", "text", "h").mapInArrow(_count_grams, "lang string, grams binary, h long").collect()
+    picked = sorted(picked, key=lambda r: (r["h"], r["lang"]))[:TRAIN_DOCS]
+    return fit([(r["lang"], np.frombuffer(zlib.decompress(r["grams"]), _COUNT)) for r in picked])
 
 
 def scores(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -216,4 +221,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             rejected = [x == "und" or s < model.threshold for x, s in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, rejected boolean")
