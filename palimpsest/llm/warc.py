@@ -12,8 +12,8 @@ finds the entry place of each block that is reachable from the file's start; rec
 Candidates inside payloads are never reached.
 
 Defined results: a null payload is empty; rows that repeat the response's key and payload are responses as well; a null key is
-written and read as null, and is a response only where no row of equal payload has a key; empty tables give no archives; a damaged
-tail ends its file's chain.
+written and read as null, and is a response only where no row of equal payload has a key; a null url is read back as ''; headers may have any
+length; empty tables give no archives; a chain that doesn't reach the end of its file is an error.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, tidy, written
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
-#: Bytes of a block of reading, and the most that a header may have.
+#: Bytes of a block of reading, and of the first look at a header: longer ones are read on.
 BLOCK = 4 << 20
-HEADER = 64 << 10
+HEADER = 8 << 10
+#: What stands for itself in a url, besides letters, digits and _.-~
+URL_SAFE = ":/?#[]@!$&()*+,;=~'"
 #: A fixed date, so that archives of equal rows are equal.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -58,7 +60,7 @@ def record(key: int, url: str | None, payload: bytes, refers_to: int | None) ->
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:x-page:{key}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {urllib.parse.quote(url or '', safe=':/?#[]@!$&()*+,;=%~' + chr(39))}",
+        f"WARC-Target-URI: {urllib.parse.quote(url or '', safe=URL_SAFE)}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Bytes: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
@@ -83,6 +85,20 @@ def parse_header(head: bytes) -> tuple[dict[str, str], int] | None:
     return fields, stop + len(END)
 
 
+def read_header(stream, at: int, size: int, data: bytes = b"") -> tuple[dict[str, str], int] | None:
+    """Fields and length of the header at a place of a file of `size` bytes; data are bytes from there on that are known already.
+
+    What has no end mark is read on, twice as much each time, up to the end of the file.
+    """
+    while True:
+        if END in data or at + len(data) >= size:
+            return parse_header(data)
+        stream.seek(at)
+        data = stream.read(min(max(HEADER, 2 * len(data)), size - at))
+        if not data.startswith(MAGIC):
+            return None
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0) -> DataFrame:
     """Writes archives; returns their manifest (folder, name, bytes), itself written.
 
@@ -96,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zip_.compress(p) for p in batch.column(3).to_pylist()], pa.binary())], names=["sha", "key", "url", "payload"])
 
@@ -128,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page
         files.move(own, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"folder": [folder], "name": [name], "bytes": [size]})
 
-    return written(joined.mapInArrow(run, "folder string, name string, bytes long"))
+    return written(joined.mapInArrow(tidy(run), "folder string, name string, bytes long"))
 
 
 def _blocks(manifest: DataFrame) -> DataFrame:
@@ -150,15 +166,17 @@ def candidates(manifest: DataFrame) -> DataFrame:
                 with store.open_input_file(f"{root}/{row['name']}") as stream:
                     stream.seek(begin)
                     data = stream.read(end - begin + HEADER)
-                successor = {}
-                at = data.find(MAGIC)
-                while 0 <= at < end - begin:
-                    parsed = parse_header(data[at : at + HEADER])
-                    if parsed:
-                        after = begin + at + parsed[1] + int(parsed[0]["Content-Length"]) + len(END)
-                        if after <= size:
-                            successor[begin + at] = after
-                    at = data.find(MAGIC, at + 1)
+                    successor = {}
+                    at = data.find(MAGIC)
+                    while 0 <= at < end - begin:
+                        stop = data.find(END, at)
+                        known = data[at : stop + len(END) if stop >= 0 else len(data)]
+                        parsed = read_header(stream, begin + at, size, known)
+                        if parsed:
+                            after = begin + at + parsed[1] + int(parsed[0]["Content-Length"]) + len(END)
+                            if after <= size:
+                                successor[begin + at] = after
+                        at = data.find(MAGIC, at + 1)
                 leaves: dict[int, int] = {}
                 for place in sorted(successor, reverse=True):
                     after = successor[place]
@@ -177,18 +195,25 @@ def candidates(manifest: DataFrame) -> DataFrame:
 
 
 def reachable(manifest: DataFrame) -> DataFrame:
-    """(folder, name, bytes, place): the entry of each block that the chain from the file's start reaches."""
+    """(folder, name, bytes, place): the entry of each block that the chain from the file's start reaches.
+
+    The joins are by (name, place) and merge sorted rows: no side is broadcast, as each grows with the archives.
+    """
     rounds = manifest.agg(F.max("bytes")).collect()[0][0] or 1
     rounds = math.ceil(math.log2(max(1, math.ceil(rounds / BLOCK)))) + 1
     jumps = written(candidates(manifest))
     reached = manifest.select("name", F.lit(0).cast("long").alias("place"))
     for k in range(rounds):
         hop = jumps.filter("leaves >= 0")
-        reached = written(reached.union(reached.join(hop, ["name", "place"]).select("name", F.col("leaves").alias("place"))).distinct())
+        reached = written(reached.union(reached.join(hop.hint("merge"), ["name", "place"]).select("name", F.col("leaves").alias("place"))).distinct())
         if k + 1 < rounds:
             onward = jumps.select("name", F.col("place").alias("leaves"), F.col("leaves").alias("onward"))
-            jumps = written(jumps.join(onward, ["name", "leaves"]).select("name", "place", F.col("onward").alias("leaves")).filter("leaves >= 0"))
-    return reached.join(manifest, "name").filter("place < bytes").select("folder", "name", "bytes", "place")
+            jumps = written(jumps.join(onward.hint("merge"), ["name", "leaves"]).select("name", "place", F.col("onward").alias("leaves")).filter("leaves >= 0"))
+    placed = reached.join(manifest.hint("merge"), "name")
+    broken = manifest.join(placed.filter("place = bytes"), "name", "left_anti").select("name").limit(1).collect()
+    if broken:
+        raise ValueError(f"{broken[0][0]}: the chain of records doesn't reach the end of the file")
+    return placed.filter("place < bytes").select("folder", "name", "bytes", "place")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -206,14 +231,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 out, held = [], 0
                 with store.open_input_file(f"{root}/{row['name']}") as stream:
                     while at < end:
-                        stream.seek(at)
-                        parsed = parse_header(stream.read(4096)) or (stream.seek(at), parse_header(stream.read(HEADER)))[1]
+                        parsed = read_header(stream, at, row["bytes"])
                         if parsed is None:
-                            break
+                            raise ValueError(f"{row['name']}: no record at {at}")
                         fields, head = parsed
                         length = int(fields["Content-Length"])
-                        if at + head + length + len(END) > row["bytes"]:
-                            break
                         stream.seek(at + head)
                         body = stream.read(length)
                         kind = fields["WARC-Type"]
@@ -232,4 +254,4 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return reachable(manifest).repartition(parts).mapInArrow(run, schema)
+    return reachable(manifest).repartition(parts).mapInArrow(tidy(run), schema)

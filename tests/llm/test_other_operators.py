@@ -64,6 +64,24 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.read_archives(warc.write_archives(df.limit(0))).collect() == []
 
 
+def test_archives_keep_long_and_escaped_urls(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3000)
+    urls = ["http://a/%41%20b", "http://a/" + "x" * 70_000, "http://a/é b\r\n%zz", "http://b/?q=%25&r='1'"]
+    rows = [(i, u, f"payload {i} " + "WARC/1.0\r\n" * (i % 3)) for i, u in enumerate(urls * 3)]
+    rows += [(5, urls[1], rows[5][2])]  # a repeated row
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(df)
+    got = warc.read_archives(manifest).collect()
+    assert sorted((r["key"], r["url"], r["payload_bytes"]) for r in got) == sorted((i, u, len(h)) for i, u, h in rows)
+    assert [r["record_type"] for r in got if r["key"] == 5] == ["response"] * 2
+    cut = manifest.collect()[0]
+    path = f"{cut['folder'].removeprefix('file://')}/{cut['name']}"
+    with open(path, "r+b") as f:
+        f.truncate(cut["bytes"] - 10)
+    with pytest.raises(Exception, match="chain of records|no record|digest"):
+        warc.read_archives(manifest).collect()
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     random_ = np.random.default_rng(1)
     centres = random_.normal(size=(30, 24))
@@ -93,6 +111,23 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 100 == 0).collect() == []
 
 
+def test_nearest_neighbours_of_doubles(spark):
+    base = np.array([1.0, 2.0, 3.0, 4.0])
+    rows = [(i, (base + i * 1e-12).tolist()) for i in range(40)]
+    rows += [(3, rows[3][1]), (41, (1e200 * base).tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 11))
+    x = np.array([r[1] for r in rows[:40]])
+    assert all(r["score"] == np.sqrt(((x[r["vec_id"]] - x[0]) ** 2).sum()) for r in got)
+
+
+def test_scan_rows_do_not_follow_the_partitions(spark):
+    random_ = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(random_.normal(size=(1500, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    one, many = (sorted(map(tuple, ann.nearest(df.repartition(n), F.col("id") % 100 == 0).collect())) for n in (1, 16))
+    assert one == many
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs the pipeline")
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
