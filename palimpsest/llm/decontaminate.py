@@ -1,20 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are the rolling (Karp-Rabin) hashes of every LEAST words of every benchmark item.  A text that holds a seed is a candidate for the
-items of that seed.  For each candidate pair the longest run of equal words that both sides still have unmarked is
-marked, again and again, until none of LEAST words is left; tiles never overlap, and their order doesn't matter, so that reordered passages
-are found as well.  The share of an item's words under tiles is its coverage; COVERAGE or more is contamination.
+Seeds are the rolling (Karp-Rabin) hashes of every LEAST words of every benchmark item.  A bitmap of fixed size over all of them passes by nearly all places of
+the texts; those that it lets through meet the seeds in an equi-join.  For each pair of a text and an item the longest run of equal words that both sides still
+have unmarked is marked, again and again, until none of LEAST words is left; tiles never overlap, and their order doesn't matter, so that
+reordered passages are found as well.  The share of an item's words under tiles is its coverage; COVERAGE or more is contamination.
 
-Items go to the tasks in slices of at most SLICE_WORDS words: the slices of a larger benchmark are read one after another, each in its own
-map over the texts, so that what is broadcast has a fixed bound.
+Neither texts nor items come to the driver: it gets the bitmap, of 2^FILTER_BITS bits, and the length of the longest item.  Seeds of a common phrase
+are hot keys of a plain equi-join, which Spark splits.
 
 Defined results: items of fewer than LEAST words are their own single seed, of their own length; null or empty items and texts match nothing;
-equal items count as one, the smallest item_id; repeated rows are reported each; an empty table gives no rows.
+equal items count as one, the smallest item_id; rows that share a key and a text are reported once, rows that share a key alone each; a row without
+key is reported with a null key; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .words import shingles, text_buffers, word_table
+from .common import settle, tidy, written
+from .words import mix, shingles, slices, text_buffers, word_table
 
 LEAST = 5
 COVERAGE = 0.6
-SLICE_WORDS = 500_000
+FILTER_BITS = 26
+#: Bytes of the bitmap in one row.
+CHUNK = 1 << 16
 
 
 def tiles(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of maximal equal runs (length, place in x, place in y): the longest first, never overlapping."""
-    import heapq
-
     heap = [(-n, i, j) for n, i, j in runs if n >= least]
     heapq.heapify(heap)
     marked_x: set[int] = set()
@@ -62,119 +63,146 @@ def tiles(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int,
     return out
 
 
-def equal_runs(x: np.ndarray, hits: dict[int, list[int]], y: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal runs of equal words from seed hits: place in x -> places in y."""
-    by_shift = defaultdict(list)
-    for i, places in hits.items():
-        for j in places:
-            by_shift[i - j].append(i)
-    runs = []
-    for shift, starts in by_shift.items():
-        begin = last = None
-        for i in sorted(starts):
-            if begin is None or i > last + 1:
-                if begin is not None:
-                    runs.append((last - begin + size, begin, begin - shift))
-                begin = i
-            last = i
-        runs.append((last - begin + size, begin, begin - shift))
-    return runs
-
-
-class Items:
-    """The seeds of a slice of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.words: list[np.ndarray] = []
-        self.ids: list[int] = []
-        self.sizes: list[int] = []
-        seeds = defaultdict(list)
-        known = set()
-        for item, text in sorted(rows, key=lambda r: r[0]):
-            h = word_table(*text_buffers(pa.array([text])))[0]
-            if not len(h) or h.tobytes() in known:
-                continue
-            known.add(h.tobytes())
-            size = min(LEAST, len(h))
-            for j, s in enumerate(shingles(h, np.array([0, len(h)]), size)[0].tolist()):
-                seeds[size, s].append((len(self.ids), j))
-            self.words.append(h)
-            self.ids.append(item)
-            self.sizes.append(size)
-        self.seeds = {n: {s: places for (m, s), places in seeds.items() if m == n} for n in {m for m, _ in seeds}}
-        self.sorted = {n: np.sort(np.array(list(d), np.uint64)) for n, d in self.seeds.items()}
-
-    def search(self, h: np.ndarray, grams: dict[int, np.ndarray]) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-        """(item, coverage, tiles) of the items that a text's words cover enough of."""
-        hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, g in grams.items():
-            have = self.sorted[n]
-            at = np.searchsorted(have, g)
-            at[at == len(have)] = 0
-            for i in np.flatnonzero(have[at] == g).tolist():
-                for item, j in self.seeds[n][int(g[i])]:
-                    hits[item][i].append(j)
-        out = []
-        for item, own in hits.items():
-            y, size = self.words[item], self.sizes[item]
-            found = tiles(equal_runs(h, own, y, size), size)
-            coverage = sum(n for n, _, _ in found) / len(y)
-            if coverage >= COVERAGE:
-                out.append((self.ids[item], coverage, found))
-        return out
+def equal_runs(i: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Maximal runs (length, place in x, place in y) of equal words, of the places i and j at which seeds of `size` words agree."""
+    order = np.lexsort((i, i - j))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    start = np.flatnonzero(new)
+    return list(zip((np.diff(np.append(start, len(i))) + size - 1).tolist(), i[start].tolist(), j[start].tolist(), strict=True))
+
+
+def tiled(i: np.ndarray, j: np.ndarray, size: int, n_words: int) -> tuple[float, list[tuple[int, int, int]]]:
+    """Coverage of an item of n_words words, and the tiles."""
+    able = np.zeros(n_words + 1, np.int64)
+    np.add.at(able, np.unique(j), 1)
+    np.add.at(able, np.unique(j) + size, -1)
+    if (np.cumsum(able) > 0).sum() < COVERAGE * n_words:  # all agreeing places together don't cover enough
+        return 0.0, []
+    found = tiles(equal_runs(i, j, size), size)
+    return sum(n for n, _, _ in found) / n_words, found
+
+
+def _bits(seeds: np.ndarray, size) -> np.ndarray:
+    """The place of seeds of so many words in the bitmap."""
+    with np.errstate(over="ignore"):
+        return (mix(seeds + np.asarray(size, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, n_words, item, size, seeds) of (item, text) rows; the seeds are packed, in order."""
+    for batch in (part for batch in batches for part in slices(batch, 1)):
+        hashed, _, _, per_text = word_table(*text_buffers(batch.column(1)))
+        rows = []
+        for item, b, e in zip(batch.column(0).to_pylist(), per_text[:-1], per_text[1:], strict=True):
+            if e > b:
+                size = int(min(LEAST, e - b))
+                own = hashed[b:e]
+                seeds = shingles(own, np.array([0, e - b]), size)[0]
+                digest = mix(own + np.arange(e - b, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                rows.append((int(mix(np.array([digest.sum(dtype=np.uint64)]))[0].view(np.int64)), int(e - b), item, size, seeds.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "n_words", "item", "size", "seeds"])
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, size, item, n_words, j) of item rows."""
+    for batch in batches:
+        for n_words, item, size, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            seeds = np.frombuffer(blob, np.int64)
+            n = len(seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), *[pa.array(np.full(n, x, k)) for x, k in ((size, np.int32), (item, np.int64), (n_words, np.int64))], pa.array(np.arange(n, dtype=np.int32))], names=["seed", "size", "item", "n_words", "j"])
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, bits) of the seeds of a task, without empty chunks."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_bits(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())] = True
+    packed = np.packbits(bits)
+    rows = [(i, part.tobytes()) for i, part in enumerate(packed.reshape(-1, CHUNK)) if part.any()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of the bitmaps of a partition, by chunk."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(blob, np.uint8)
+            held[chunk] = held[chunk] | part if chunk in held else part
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, coverage, n_tiles, begin, end): pairs of a document and an item that it holds.
+def places(bitmap: np.ndarray, sizes: list[int], longest: int):
+    """An Arrow function: (key, tag, seed, size, i) of the places of (key, tag, text) rows at which the bitmap lets a seed through.
 
-    begin and end bound the tiles in the document, in words.  A map without a shuffle for each slice of the benchmark.
+    Of a stretch of one repeated seed, as of a word repeated without end, the first and the last `longest` places are enough for every tile.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for batch in batches for part in slices(batch, 2)):
+            hashed, _, _, per_text = word_table(*text_buffers(batch.column(2)))
+            counts = np.diff(per_text)
+            for size in sizes:
+                grams, begin = shingles(hashed, per_text, size)
+                bit = _bits(grams, size)
+                at = np.flatnonzero((bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+                own = np.searchsorted(begin, at, side="right") - 1
+                keep = counts[own] >= size
+                at, own = at[keep], own[keep]
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (grams[at[1:]] != grams[at[:-1]]) | (own[1:] != own[:-1])
+                start = np.flatnonzero(new)
+                group = np.cumsum(new) - 1
+                rank = np.arange(len(at)) - start[group] if len(at) else at
+                left = np.diff(np.append(start, len(at)))[group] - rank if len(at) else at
+                keep = (rank < longest) | (left <= longest)
+                at, own = at[keep], own[keep]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array((at - begin[own]).astype(np.int32))],
+                        names=["key", "tag", "seed", "size", "i"],
+                    )
+
+    return tidy(run)
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, item_id, coverage, n_tiles, begin, end) of (key, item, n_words, size, hits) rows whose coverage is enough."""
+    for batch in batches:
+        rows = []
+        hits = batch.column(4)
+        ends = np.concatenate([[0], np.cumsum(hits.value_lengths().to_numpy())])
+        i, j = (c.to_numpy() for c in hits.flatten().flatten())
+        for r, (item, n_words, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+            coverage, t = tiled(i[ends[r] : ends[r + 1]], j[ends[r] : ends[r + 1]], size, n_words)
+            if coverage >= COVERAGE:
+                rows.append((r, item, coverage, len(t), min(p for _, p, _ in t), max(p + n for n, p, _ in t)))
+        if rows:
+            picked, *rest = zip(*rows, strict=True)
+            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(picked)), *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names=["key", "item_id", "coverage", "n_tiles", "begin", "end"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item_id, coverage, n_tiles, begin, end): pairs of a document and an item that it holds; begin and end bound the tiles in the document, in words."""
     settle(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id long, coverage double, n_tiles int, begin int, end int"
-    names = [key, "item_id", "coverage", "n_tiles", "begin", "end"]
-
-    def searching(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hashed, _, _, per_text = word_table(*text_buffers(batch.column(1)))
-                grams = {n: shingles(hashed, per_text, n) for n in items.sorted}
-                rows = []
-                # texts without any seed are passed by at once
-                some = np.zeros(len(batch), bool)
-                for n, (g, begin) in grams.items():
-                    have = items.sorted[n]
-                    at = np.searchsorted(have, g)
-                    at[at == len(have)] = 0
-                    hit = np.concatenate([[0], np.cumsum(have[at] == g)])
-                    some |= hit[begin[1:]] > hit[begin[:-1]]
-                for i in np.flatnonzero(some).tolist():
-                    h = hashed[per_text[i] : per_text[i + 1]]
-                    own = {n: g[begin[i] : begin[i + 1]] for n, (g, begin) in grams.items() if len(h) >= n}
-                    for found, coverage, t in items.search(h, own):
-                        rows.append((i, found, coverage, len(t), min(p for _, p, _ in t), max(p + n for n, p, _ in t)))
-                if rows:
-                    picked, *rest = zip(*rows, strict=True)
-                    kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(picked)), *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names=names)
-
-        return run
-
-    out = None
-    held: list[tuple[int, str]] = []
-    words = 0
-    slices = []
-    for row in benchmark.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long"), item_text).orderBy(item).toLocalIterator():
-        held.append((row[0], row[1]))
-        words += len(row[1]) // 2 + 1
-        if words >= SLICE_WORDS:
-            slices.append(held)
-            held, words = [], 0
-    if held:
-        slices.append(held)
-    for part in slices:
-        items = Items(part)
-        if items.ids:
-            found = docs.select(key, text).mapInArrow(searching(items), schema)
-            out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
+    items = items.mapInArrow(_items, "digest long, n_words long, item long, size int, seeds binary")
+    items = items.groupBy("digest", "n_words").agg(F.min(F.struct("item", "size", "seeds")).alias("x")).select("n_words", "x.*")
+    seeds = written(items.mapInArrow(_seeds, "seed long, size int, item long, n_words long, j int"))
+    shape = seeds.groupBy("size").agg(F.max("n_words").alias("longest")).collect()
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in seeds.select("seed", "size").mapInArrow(_bitmap, "chunk int, bits binary").repartition("chunk").mapInArrow(_either, "chunk int, bits binary").collect():
+        packed[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["bits"], np.uint8)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).filter("text is not null")
+    passed = rows.mapInArrow(places(packed, sorted(r["size"] for r in shape), max((r["longest"] for r in shape), default=0)), f"key {kind}, tag long, seed long, size int, i int")
+    hits = passed.join(seeds, ["seed", "size"]).groupBy("key", "tag", "item", "n_words", "size").agg(F.collect_set(F.struct("i", "j")).alias("hits"))
+    found = hits.select("key", "item", "n_words", "size", "hits").mapInArrow(_found, f"key {kind}, item_id long, coverage double, n_tiles int, begin int, end int")
+    return found.withColumnRenamed("key", key)

@@ -6,8 +6,8 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, langid, quality, records
 from palimpsest.llm.bpe import ForcedBoundaryBPE, encode_documents
@@ -157,14 +157,42 @@ def test_tiling_matches_brute_force():
         item = [random.choice("abcdefghijklmnop") for _ in range(random.randrange(5, 30))]
         cut = random.randrange(len(item))
         x = [*random.choices("abcdefghijklmnop", k=10), *item[cut:], *random.choices("abcd", k=3), *item[:cut]]
-        items = decontaminate.Items([(1, " ".join(item))])
-        h = decontaminate.word_table(*decontaminate.text_buffers(pa.array([" ".join(x)])))[0]
-        grams = {n: decontaminate.shingles(h, np.array([0, len(h)]), n)[0] for n in items.sorted}
+        hits = np.array([(i, j) for i in range(len(x) - 4) for j in range(len(item) - 4) if x[i : i + 5] == item[j : j + 5]], int).reshape(-1, 2)
+        i, j = hits[:, 0], hits[:, 1]
         coverage = tile_brute(x, item, decontaminate.LEAST) / len(item)
-        found = items.search(h, grams)
-        assert bool(found) == (coverage >= decontaminate.COVERAGE)
-        if found:
-            assert found[0][1] == pytest.approx(coverage)
+        found, _ = decontaminate.tiled(i, j, decontaminate.LEAST, len(item))
+        assert (found >= decontaminate.COVERAGE) == (coverage >= decontaminate.COVERAGE)
+        if found >= decontaminate.COVERAGE:
+            assert found == pytest.approx(coverage)
+
+
+def test_contamination_matches_brute_force(spark):
+    random.seed(21)
+    word = lambda: random.choice("abcdefghijklmnop") * random.randrange(1, 3)
+    items = [(i, [word() for _ in range(random.randrange(3, 25))]) for i in range(12)] + [(20, ["zz"] * 12), (21, ["zz", "q"] * 8)]
+    texts = [["zz"] * 400, ["q", "zz"] * 60, ["zz"] * 11]
+    for _ in range(40):
+        parts = [[word() for _ in range(random.randrange(8))] for _ in range(4)]
+        own = [w if random.random() < 0.93 else word() for w in random.choice(items)[1]]
+        cut = random.randrange(len(own) + 1)
+        texts.append([*parts[0], *own[cut:], *parts[1], *own[:cut], *parts[2], *random.choice(items)[1], *parts[3]])
+    expected = {}
+    for d, x in enumerate(texts):
+        for i, y in items:
+            share = tile_brute(x, y, min(len(y), decontaminate.LEAST)) / len(y)
+            if share >= decontaminate.COVERAGE:
+                expected[d, i] = share
+    df = spark.createDataFrame([(d, " ".join(x).upper(), None, "x") for d, x in enumerate(texts)], SCHEMA).withColumn("item_id", F.lit(1)).repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(y), i) for i, y in [*items, *[(i + 100, y) for i, y in items]]], "item_id long, text string, doc_id long")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(df.union(df), bench).collect()}
+    assert got == pytest.approx(expected)
+
+
+def test_long_repetitive_texts(spark):
+    df = documents(spark, ["w " * 60_000, "a b " * 20_000])
+    bench = spark.createDataFrame([(1, "w " * 40), (2, "a b " * 20), (3, "w")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(0, 1): 1.0, (0, 3): 1.0, (1, 2): 1.0}
 
 
 def test_reordered_passages_are_contamination(spark):
