@@ -13,7 +13,9 @@ The boundary x is chosen by cost, from the histogram of set sizes.  The order of
 order gives right results, and this one keeps common passages out of prefixes.
 
 Lists of up to PAIRS sets emit their pairs; longer ones are cut into blocks of BLOCK sets, whose block pairs are each searched in a task for
-a spanning forest of their links, so that no group of near copies is expanded into all its pairs.
+a spanning forest of their links, so that no group of near copies is expanded into all its pairs.  The lists of the first EARLY places
+of prefixes go first.  Of the others only pairs of sets that are not connected by then are compared, and only lists in which such sets meet:
+pairs inside a component can't change it.
 
 Defined results: a text of fewer than k words, but one, has its whole sequence as its one shingle; without words or text (null) it is empty and
 linked with nothing; equal texts share a component; an empty table gives no rows; extra columns are ignored.
@@ -41,6 +43,8 @@ _CELL = np.uint64(64 - 22)
 CHUNK = 1 << 16
 PAIRS = 24
 BLOCK = 512
+#: Places of a prefix that are looked at before the others: what they connect isn't compared again.
+EARLY = 3
 #: Sets that a task remembers to pass over their copies, and entries that it holds before it deals them out.
 SEEN = 100_000
 HELD = 200_000
@@ -222,7 +226,7 @@ def _postings(k: int, t: Threshold, x: int, level: np.ndarray, n_buckets: int):
 
 
 def _meet(t: Threshold, x: int):
-    """From the entries of a bucket: links of light sets, pairs to check, members of long lists."""
+    """From the entries of a bucket: links of light sets (kind 0), pairs to check (1, or 3 if late), members of long lists (2, or 4 if late)."""
 
     def run(table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table.column("entries").combine_chunks()])
@@ -253,7 +257,7 @@ def _meet(t: Threshold, x: int):
             # at the first shingle that two prefixes share, nothing before it can add to their overlap
             most = 1 + np.minimum(n_i - 1 - i["place"], n_j - 1 - j["place"])
             ok = (need <= n_i) & (most >= need) & (n_j > x)
-            kinds.append(np.ones(ok.sum(), np.int32))
+            kinds.append(np.where(np.maximum(i["place"], j["place"])[ok] < EARLY, 1, 3).astype(np.int32))
             a.append(np.minimum(i["sid"], j["sid"])[ok])
             b.append(np.maximum(i["sid"], j["sid"])[ok])
         kind, a, b = np.concatenate(kinds), np.concatenate(a), np.concatenate(b)
@@ -280,7 +284,7 @@ def _meet(t: Threshold, x: int):
                     m = m[m["place"] <= sizes - t.overlap(sizes, least)]
                     if len(m) < 2:
                         continue
-                    out.append((np.full(len(m), 2, np.int32), m["key"].view(np.int64), m["sid"], np.full(len(m), p), np.full(len(m), q)))
+                    out.append((np.where(m["place"] < EARLY, 2, 4).astype(np.int32), m["key"].view(np.int64), m["sid"], np.full(len(m), p), np.full(len(m), q)))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.Table.from_arrays([pa.array(columns[0].astype(np.int32)), *[pa.array(c.astype(np.int64)) for c in columns[1:]]], names=["kind", "a", "b", "p", "q"])
 
@@ -288,7 +292,7 @@ def _meet(t: Threshold, x: int):
 
 
 def _plausible(t: Threshold):
-    """Pairs (a, b, na, nb, ca, cb) whose class counts allow a link.
+    """Pairs (a, b, na, nb, ca, cb, early) whose class counts allow a link.
 
     Sets that share o of their shingles differ in na + nb - 2 o, and no less than their class counts do; counts are kept modulo 256, whose cyclic
     distance is no more than the real one.
@@ -300,7 +304,7 @@ def _plausible(t: Threshold):
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(na), -1) for i in (4, 5))
             apart = left - right
             keep = pa.array(np.minimum(apart, -apart).sum(1, dtype=np.int64) <= na + nb - 2 * t.overlap(na, nb))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 6)], names=["a", "b", "early"])
 
     return run
 
@@ -393,20 +397,30 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     met = written(packed.groupBy("bucket").applyInArrow(_meet(t, x), "kind int, a long, b long, p long, q long"))
     first = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("classes").alias("classes"))
     first = written(first)
-    pairs = met.filter("kind = 1").select("a", "b").distinct()
+    pairs = met.filter("kind in (1, 3)").groupBy("a", "b").agg((F.min("kind") == 1).alias("early"))
     for side in ("a", "b"):
         pairs = pairs.join(first.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("classes").alias(f"c{side}")), side)
-    pairs = written(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_plausible(t), "a long, b long"))
-    members = met.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("sid"), "p", "q")
+    pairs = written(pairs.select("a", "b", "na", "nb", "ca", "cb", "early").mapInArrow(_plausible(t), "a long, b long, early boolean"))
+    members = met.filter("kind in (2, 4)").select(F.col("a").alias("list"), F.col("b").alias("sid"), "p", "q", (F.col("kind") == 2).alias("early"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(members.select("sid")).distinct()
     wanted = wanted.join(first.select("sid", "doc"), "sid")
     sets = written(wanted.join(source, "doc").select("sid", "text").mapInArrow(tidy(_fetch(k)), "sid long, elements binary"))
-    left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_check(t)), "a long, b long")
-    forest = members.join(sets, "sid").groupBy("list", "p", "q").applyInArrow(_forest(t), "a long, b long")
-    links = met.filter("kind = 0").select("a", "b").union(checked).union(forest)
 
-    roots = components(links)
+    def near(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
+        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_check(t)), "a long, b long")
+        return checked.union(members.join(sets, "sid").groupBy("list", "p", "q").applyInArrow(_forest(t), "a long, b long"))
+
+    roots = components(met.filter("kind = 0").select("a", "b").union(near(pairs.filter("early"), members.filter("early"))))
+    apart = pairs.filter("not early")
+    for side in ("a", "b"):
+        apart = apart.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    apart = apart.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    placed = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = placed.groupBy("list", "p", "q").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("early").alias("all_early")).filter("least < most and not all_early")
+    late = written(near(apart, members.join(mixed.select("list", "p", "q"), ["list", "p", "q"], "left_semi").select("list", "sid", "p", "q")))
+    if not late.isEmpty():
+        roots = components(late.union(roots.select("node", "root")))
     first = first.select("sid", "doc")
     labelled = roots.join(first, roots["node"] == first["sid"]).select("sid", "root", "doc")
     roots_doc = first.select(F.col("sid").alias("root"), F.col("doc").alias("root_doc"))
