@@ -136,24 +136,123 @@ def pathspec(path: Column, patterns: list[str]) -> Column:
     return wanted & ~barred
 
 
+def _rule_regex(body: str) -> tuple[str, bool]:
+    """The expression that a path (without a slash at its end) has to fit, and whether the rule is for directories alone."""
+    directory = body.endswith("/")
+    body = body.rstrip("/")
+    anchored = "/" in body
+    regex = glob_regex(body.lstrip("/"))[1:]
+    return ("^" if anchored else "(?:^|/)") + regex, directory
+
+
+def _rule_lines(rules: list[str]) -> list[str]:
+    """Rules without comments, blank lines and trailing blanks; a backslash keeps a leading # or ! and a blank at the end."""
+    kept = [re.sub(r"(?<!\\) +$", "", rule) for rule in rules]
+    return [rule for rule in kept if rule and not rule.startswith("#")]
+
+
+def path_steps(path: Column) -> Column:
+    """(path, is_dir) of each directory above a path, from the top, and of the path itself; a slash at its end makes it a directory."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.size(parts)
+    step = lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), ((i < n) | path.endswith("/")).alias("is_dir"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), step)).otherwise(F.array().cast("array<struct<path:string,is_dir:boolean>>"))
+
+
 def ignore_rules(path: Column, rules: list[str]) -> Column:
-    """Whether ordered ignore rules leave a file out: the last match decides, ! takes back, a rule that ends in / names directories."""
+    """Whether ordered ignore rules leave a path out.
+
+    Each directory above the path is asked first, from the top: what lies in an excluded one is out and can't be taken back.
+    At each step the last rule that fits decides; ! takes back; a rule that ends in / is for directories alone.
+    """
+    parsed = []
+    for rule in _rule_lines(rules):
+        negated = rule.startswith("!")
+        body = rule[1:] if negated else rule.removeprefix("\\") if rule[:2] in ("\\!", "\\#") else rule
+        parsed.append((*_rule_regex(body), negated))
+
+    def out(step: Column) -> Column:
+        decided = F.lit(False)
+        for regex, directory, negated in parsed:
+            fits = step["path"].rlike(regex)
+            decided = F.when(fits & step["is_dir"] if directory else fits, not negated).otherwise(decided)
+        return decided
+
+    return F.exists(path_steps(path), out)
+
+
+def path_attributes(path: Column, rules: list[str], names: list[str]) -> dict[str, Column]:
+    """For each name the value that ordered attribute rules give a path: `set`, `unset`, a value, or null where unspecified.
+
+    A rule is a pattern and words `name`, `-name`, `!name` or `name=value`; the last that fits decides, for each name on its own.
+    """
+    out = {name: F.lit(None).cast("string") for name in names}
+    for rule in _rule_lines(rules):
+        pattern, *words = rule.split()
+        regex, directory = _rule_regex(pattern)
+        if directory:  # a directory's attributes aren't those of what lies in it
+            continue
+        for word in words:
+            name, equals, value = word.lstrip("-!").partition("=")
+            if name in out:
+                given = F.lit("unset") if word[0] == "-" else F.lit(None).cast("string") if word[0] == "!" else F.lit(value if equals else "set")
+                out[name] = F.when(path.rlike(regex), given).otherwise(out[name])
+    return out
+
+
+def hidden_ref(name: Column, rules: list[str], stripped: Column | None = None) -> Column:
+    """Whether ordered rules hide a reference: a rule fits a whole name or one that goes on behind a slash; the last that fits decides.
+
+    ! shows again; ^ asks for the full name where `stripped` gives the one without a namespace, which other rules look at.
+    """
     out = F.lit(False)
     for rule in rules:
-        if not rule.strip() or rule.startswith("#"):
-            continue
-        negated = rule.startswith("!")
-        body = rule[1:] if negated else rule
-        directory = body.endswith("/")
-        body = body.rstrip("/")
-        anchored = "/" in body
-        body = body.lstrip("/")
-        regex = glob_regex(body)[1:-1]
-        regex = ("^" if anchored else "(?:^|/)") + regex + ("/" if directory else "(?:/|$)")
-        out = F.when(path.rlike(regex), not negated).otherwise(out)
+        shown = rule.startswith("!")
+        body = rule.removeprefix("!")
+        column = name if body.startswith("^") or stripped is None else stripped
+        body = body.removeprefix("^").rstrip("/")
+        out = F.when((column == body) | column.startswith(f"{body}/"), not shown).otherwise(out)
     return out
 
 
+#: What stands for itself in a basic expression and is special in an extended one; behind a backslash it is the other way round.
+_BASIC_PLAIN = "+?|(){}"
+
+
+def basic_regex(pattern: str) -> str:
+    """A basic regular expression as an extended one."""
+    out, i, bracket = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if bracket:
+            out.append(c)
+            bracket = c != "]"
+        elif c == "[":
+            out.append(c)
+            bracket = True
+        elif c == "\\" and i + 1 < len(pattern):
+            i += 1
+            out.append(pattern[i] if pattern[i] in _BASIC_PLAIN else "\\" + pattern[i])
+        elif c in _BASIC_PLAIN:
+            out.append("\\" + c)
+        elif c == "*" and (not out or out[-1] in ("^", "(")):
+            out.append("\\*")
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def word_regex(pattern: str) -> str:
+    """A match that no word character touches on either side."""
+    return rf"(?<!\w)(?:{pattern})(?!\w)"
+
+
+def is_binary(data: Column, look: int = 8000) -> Column:
+    """Whether a NUL stands in the first characters of a file."""
+    return F.contains(F.substring(data, 1, look), F.lit("\0"))
+
+
 # boolean search expressions ------------------------------------------------------------------
 
 

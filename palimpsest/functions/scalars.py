@@ -44,6 +44,26 @@ def first_text_line(message: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit("(no subject)"))
 
 
+def creator_date(tagger: Column, committer: Column) -> Column:
+    """When an object was made: the tagger's time, else the committer's, else 0."""
+    return F.coalesce(tagger, committer, F.lit(0)).cast("long")
+
+
+def host_quoted(text: Column, language: str) -> Column:
+    """A text as a string of a host language: shell, perl, python or tcl."""
+    if language == "shell":
+        return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("!"), F.lit("'\\!'")), F.lit("'"))
+    if language in ("perl", "python"):
+        body = text
+        for raw, shown in (("\\", "\\\\"), ("'", "\\'"), *([("\n", "\\n")] if language == "python" else [])):
+            body = F.replace(body, F.lit(raw), F.lit(shown))
+        return F.concat(F.lit("'"), body, F.lit("'"))
+    body = F.regexp_replace(text, r'([\[\]{}$\\"])', r"\\$1")
+    for raw, shown in (("\f", "\\f"), ("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t"), ("\v", "\\v")):
+        body = F.replace(body, F.lit(raw), F.lit(shown))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
 def annotation(message: Column, n: int) -> Column:
     """The first n non-blank lines, joined by blanks."""
     return F.array_join(F.slice(F.filter(F.transform(F.split(message, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, n), " ")

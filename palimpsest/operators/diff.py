@@ -20,6 +20,25 @@ def tree_diff(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return named.filter("status is not null")
 
 
+def status_filter(status: Column, letters: str) -> Column:
+    """Upper-case letters take statuses in, lower-case ones leave them out."""
+    wanted = [c for c in letters if c.isupper()]
+    barred = [c.upper() for c in letters if c.islower()]
+    out = status.isin(*wanted) if wanted else F.lit(True)
+    return out & ~status.isin(*barred) if barred else out
+
+
+def whole_changesets(diffs: DataFrame, hit: Column) -> DataFrame:
+    """All changes of each (oid, parent) of which one hits; a partial aggregate and a semi join, so that no changeset is gathered."""
+    found = diffs.filter(hit).select("oid", "parent").distinct()
+    return diffs.join(found, ["oid", "parent"], "left_semi")
+
+
+def at_depth(diffs: DataFrame, depth: int, by: list[str]) -> DataFrame:
+    """(by…, path, n): changes under the first `depth` components of their paths."""
+    return diffs.groupBy(*by, F.array_join(F.slice(F.split("path", "/"), 1, depth), "/").alias("path")).agg(F.count("*").alias("n"))
+
+
 def combined(diffs: DataFrame, edges: DataFrame) -> DataFrame:
     """(oid, path, statuses): paths of merges that differ from every parent, a letter for each parent in order."""
     n = edges.groupBy("oid").agg(F.count("*").alias("n")).filter("n > 1")

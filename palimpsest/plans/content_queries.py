@@ -185,15 +185,85 @@ def pathspec_glob_exclude(spark, sf):
     return rows.filter(patterns.pathspec(F.col("path"), [":(glob)*/[0-9]*", ":(exclude,icase)FR"]))
 
 
-@query(f"""SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)en/1[^/]*$') THEN false WHEN regexp_matches(path, '(^|/)[^/]*5$') THEN true WHEN regexp_matches(path, '(^|/)en/') THEN true ELSE false END AS ignored
-FROM (SELECT page_id, {_URL} AS path FROM pages)""")
+_STEPS = f"""steps AS (SELECT page_id, list_filter(string_split({_URL}, '/'), lambda x: x <> '') AS parts, {_URL} LIKE '%/' AS slash FROM pages),
+prefixes AS (SELECT page_id, list_transform(range(1, len(parts) + 1), lambda i: struct_pack(path := array_to_string(parts[1:i], '/'), is_dir := i < len(parts) OR slash)) AS p FROM steps)"""
+
+
+@query(f"""WITH {_STEPS} SELECT page_id, len(list_filter(p, lambda s: CASE WHEN regexp_matches(s.path, '^(.*/)?en/1[^/]*$') THEN false WHEN regexp_matches(s.path, '(^|/)[^/]*5$') THEN true
+  WHEN s.is_dir AND regexp_matches(s.path, '(^|/)en$') THEN true ELSE false END)) > 0 AS ignored FROM prefixes""")
 def ignore_rules(spark, sf):
-    """Whether ordered rules ignore a path."""
+    """Whether ordered rules ignore a path: nothing in an excluded directory is taken back."""
     path = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
     rules = ["# languages", "en/", "*5", "!**/en/1*"]
     return views.load(spark, sf, "pages").select("page_id", patterns.ignore_rules(path, rules).alias("ignored"))
 
 
+@query(f"""WITH {_STEPS} SELECT page_id, len(list_filter(p, lambda s: CASE WHEN regexp_matches(s.path, '^fr/1[^/]*$') THEN false WHEN regexp_matches(s.path, '^fr/[^/]*$') THEN true
+  WHEN regexp_matches(s.path, '(^|/)[^/]*[.]html$') THEN true ELSE false END)) > 0 AS ignored FROM prefixes""")
+def ignore_rules_reincluded(spark, sf):
+    """Files that a rule excludes one by one may be taken back."""
+    path = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
+    return views.load(spark, sf, "pages").select("page_id", patterns.ignore_rules(path, ["*.html", "", "/fr/*", "!/fr/1*"]).alias("ignored"))
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)[^/]*5[^/]*$') THEN NULL WHEN regexp_matches(path, '^en/[^/]*$') THEN 'en' END AS lang,
+  CASE WHEN regexp_matches(path, '^en/[^/]*$') THEN 'unset' WHEN regexp_matches(path, '(^|/)[^/]*[.]html$') THEN 'set' END AS text FROM (SELECT page_id, {_URL} AS path FROM pages)""")
+def attributes_lookup(spark, sf):
+    """Attributes that ordered rules give each path."""
+    path = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
+    found = patterns.path_attributes(path, ["*.html text", "/en/* lang=en -text", "*5* !lang", "fr/ lang=fr"], ["lang", "text"])
+    return views.load(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*)::BIGINT AS n FROM lines WHERE regexp_matches(line, '(^|[^0-9A-Za-z_])(the|ing)+([^0-9A-Za-z_]|$)') GROUP BY doc_id")
+def grep_words_basic(spark, sf):
+    """Lines in which a basic expression fits a whole word."""
+    regex = patterns.word_regex(patterns.basic_regex(r"\(the\|ing\)\+"))
+    return lines(spark, sf).filter(F.col("line").rlike(regex)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*)::BIGINT AS n FROM lines WHERE NOT regexp_matches(line, '[0-9]') GROUP BY doc_id")
+def grep_inverted(spark, sf):
+    """How many lines of each file don't fit."""
+    return lines(spark, sf).filter(~F.col("line").rlike("[0-9]")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[a-z]+tion')) AS match FROM lines")
+def grep_only_matching(spark, sf):
+    """The matching parts of lines."""
+    return lines(spark, sf).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("[a-z]+tion"), F.lit(0))).alias("match"))
+
+
+@query("SELECT page_id, page_id % 9 = 0 AS is_binary FROM pages")
+def grep_binary(spark, sf):
+    """Which files count as binary, when every ninth has a NUL early on and every seventh a late one."""
+    page = F.col("page_id")
+    late = F.concat(F.repeat(F.lit("x"), F.lit(9000)), F.lit("\0"))
+    text = F.when(page % 9 == 0, F.concat(F.lit("a\0b"), "html")).when(page % 7 == 0, F.concat(late, "html")).otherwise(F.col("html"))
+    return views.load(spark, sf, "pages").select("page_id", patterns.is_binary(text).alias("is_binary"))
+
+
+@query(DIFF + """, hits AS (SELECT oid, parent, bool_or(coalesce(new_content = 3, false) OR coalesce(old_content = 3, false)) AS hit FROM diffs WHERE status IS NOT NULL GROUP BY oid, parent)
+SELECT diffs.oid, diffs.parent, path, status FROM diffs JOIN hits ON hits.oid = diffs.oid AND hits.parent = diffs.parent WHERE status IS NOT NULL AND hit""")
+def pickaxe_all(spark, sf):
+    """Whole changesets of which one change takes a given blob in or out."""
+    hit = F.coalesce(F.col("old_content") == 3, F.lit(False)) | F.coalesce(F.col("new_content") == 3, F.lit(False))
+    return diff.whole_changesets(diffs(spark, sf), hit).select("oid", "parent", "path", "status")
+
+
+@query(DIFF + " SELECT oid, parent, path, status FROM diffs WHERE status IN ('A', 'M') AND path NOT LIKE 'b2/%'")
+def diff_filter_pathspec(spark, sf):
+    """Changes of given kinds outside one directory."""
+    rows = diffs(spark, sf).filter(diff.status_filter(F.col("status"), "AM") & patterns.pathspec(F.col("path"), [":!b2"]))
+    return rows.select("oid", "parent", "path", "status")
+
+
+@query(DIFF + """ SELECT oid, parent, split_part(path, '/', 1) AS path, count(*)::BIGINT AS n FROM diffs WHERE status IS NOT NULL GROUP BY oid, parent, split_part(path, '/', 1)""")
+def diff_max_depth(spark, sf):
+    """Changes shown as the directories of depth 1 that hold them."""
+    return diff.at_depth(diffs(spark, sf), 1, ["oid", "parent"])
+
+
 @query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS oid FROM documents")
 def hash_objects(spark, sf):
     """Object ids of all blobs."""

@@ -76,13 +76,43 @@ def refs_tail_match(spark, sf):
     return refs(spark, sf).filter(patterns.tail_matches(name, "c12") | patterns.tail_matches(name, "heads/c13")).select("refname")
 
 
-@query(REFS + """SELECT refname, CASE WHEN refname LIKE 'refs/heads/c12%' THEN false WHEN refname LIKE 'refs/heads/c1%' THEN true ELSE false END AS hidden FROM refs WHERE kind = 'branch'""")
+@query(REFS + """SELECT refname, CASE WHEN refname = 'refs/heads/c12' THEN false WHEN refname IN ('refs/heads/c1', 'refs/heads/c13') THEN true ELSE false END AS hidden FROM refs WHERE kind = 'branch'""")
 def refs_hidden(spark, sf):
-    """Hidden references: the last rule that fits decides, ! shows again."""
-    hidden = F.lit(False)
-    for rule in ("refs/heads/c1", "!refs/heads/c12"):
-        hidden = F.when(F.col("refname").startswith(rule.lstrip("!")), not rule.startswith("!")).otherwise(hidden)
-    return refs(spark, sf).filter("kind = 'branch'").select("refname", hidden.alias("hidden"))
+    """Hidden references: a rule fits a name or what goes on behind a slash, the last that fits decides, ! shows again."""
+    rules = ["refs/heads/c1", "refs/heads/c12/", "^refs/heads/c13", "!refs/heads/c12"]
+    return refs(spark, sf).filter("kind = 'branch'").select("refname", patterns.hidden_ref(F.col("refname"), rules).alias("hidden"))
+
+
+@query(REFS + "SELECT refname, CASE WHEN oid = (SELECT max(oid) FROM refs WHERE kind = 'branch') THEN '*' ELSE ' ' END || ' ' || substr(refname, 12) AS line FROM refs WHERE kind = 'branch'")
+def refs_head_marker(spark, sf):
+    """Branches with a star at the one that is checked out."""
+    rows = refs(spark, sf).filter("kind = 'branch'")
+    head = rows.agg(F.max_by("refname", "oid").alias("head"))
+    atoms = {"refname": F.col("refname"), "HEAD": F.when(F.col("refname") == F.col("head"), "*").otherwise(" ")}
+    return rows.crossJoin(F.broadcast(head)).select("refname", ops.format_column("%(HEAD) %(refname:short)", atoms).alias("line"))
+
+
+@query(REFS + """SELECT refname, coalesce(CASE WHEN refs.kind = 'tag' AND refs.oid % 2 = 0 THEN ts + 60 END, ts, 0)::BIGINT AS creator FROM refs LEFT JOIN commits ON commits.oid = refs.oid""")
+def refs_creator_date(spark, sf):
+    """The date of a tag's tagger, where it has one, else that of its commit."""
+    tagger = F.when((F.col("kind") == "tag") & (F.col("oid") % 2 == 0), F.col("ts") + 60)
+    return refs(spark, sf).join(commits(spark, sf).select("oid", "ts"), "oid", "left").select("refname", scalars.creator_date(tagger, F.col("ts")).alias("creator"))
+
+
+@query(REFS + r"""SELECT refname, chr(39) || replace(refname, chr(39), chr(39) || '\' || chr(39) || chr(39)) || chr(39) || ' "' || refname || '"' AS line FROM (SELECT CASE WHEN oid % 3 = 0 THEN refname || chr(39) || 's' ELSE refname END AS refname FROM refs)""")
+def refs_quoted(spark, sf):
+    """Names quoted for a shell and for Tcl."""
+    name = F.when(F.col("oid") % 3 == 0, F.concat("refname", F.lit("'s"))).otherwise(F.col("refname"))
+    rows = refs(spark, sf).select(name.alias("refname"))
+    return rows.select("refname", F.concat(scalars.host_quoted(F.col("refname"), "shell"), F.lit(" "), scalars.host_quoted(F.col("refname"), "tcl")).alias("line"))
+
+
+@query(REFS + """SELECT refname, rpad(CASE WHEN kind = 'branch' THEN 'B' ELSE 'T' END, 3, ' ') || lpad(oid::VARCHAR, 8, ' ') || '|' || array_to_string(string_split(refname, '/')[3:], '/') AS line FROM refs""")
+def refs_aligned(spark, sf):
+    """A format with alignment, a condition and stripped components."""
+    atoms = {"refname": F.col("refname"), "objectname": F.col("oid"), "objecttype": F.col("objecttype")}
+    template = "%(align:3)%(if:equals=commit)%(objecttype)%(then)B%(else)T%(end)%(end)%(align:8,right)%(objectname)%(end)|%(refname:lstrip=2)"
+    return refs(spark, sf).select("refname", ops.format_column(template, atoms).alias("line"))
 
 
 @query(REFS + "SELECT commits.oid, string_agg(refname, ', ' ORDER BY refname) AS decoration FROM commits JOIN refs ON refs.oid = commits.oid GROUP BY commits.oid")
