@@ -66,21 +66,29 @@ def directory_votes(renames: DataFrame, by: list[str]) -> DataFrame:
     return top.filter("n = 1").select(*by, "old_dir", "new_dir", "votes")
 
 
-def line_similarity(lines: DataFrame, most_documents: int, least: int, top: int = 60000) -> DataFrame:
-    """(a, b, score): pairs of blobs by shared lines as a multiset, score of `top` at least `least`.
+def line_similarity(lines: DataFrame, least: int, top: int = 60000) -> DataFrame:
+    """(a, b, score): pairs of blobs by shared lines as a multiset, score of `top` at least `least`, over all lines.
 
-    Lines that more than most_documents blobs hold say nothing of a rename and would pair everything with everything; they count
-    in neither the shared lines nor the sizes.
+    Blobs of equal lines are a class: each is paired with the smallest of it (score `top`), and only those are compared.  Candidates share one of the
+    rarest lines: a pair of score `least` has the share least / top of the larger side in common, so that it shares a line among the first
+    (top - least) / top of either side, rarest first; common lines are looked at only in blobs that have little else.
     """
-    counts = lines.groupBy("line", "doc_id").agg(F.count("*").alias("n"))
-    rare = counts.groupBy("line").agg(F.count("*").alias("df")).filter(F.col("df") <= most_documents)
-    kept = counts.join(rare.select("line"), "line")
-    size = kept.groupBy("doc_id").agg(F.sum("n").alias("size"))
-    left = kept.select("line", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    right = kept.select("line", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    shared = left.join(right, "line").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    sized = shared.join(size.select(F.col("doc_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("size").alias("sb")), "b")
-    return sized.select("a", "b", F.expr(f"shared * {top} div greatest(sa, sb)").alias("score")).filter(F.col("score") >= least)
+    counts = lines.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("doc_id").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.bit_xor(F.xxhash64("line", "n")).alias("x"), F.sum(F.xxhash64("n", "line").cast("decimal(38,0)")).alias("y"))
+    classed = whole.withColumn("rep", F.min("doc_id").over(Window.partitionBy("size", "kinds", "x", "y")))
+    same = classed.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(top).cast("long").alias("score"))
+    kept = counts.join(classed.filter("doc_id = rep").select("doc_id", "size"), "doc_id")
+    often = kept.groupBy("line").agg(F.count("*").alias("df"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("df", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = F.ceil(F.col("size") * F.lit(least) / F.lit(top))
+    prefix = kept.join(often, "line").withColumn("before", before).filter(F.col("before") <= F.col("size") - needed).select("doc_id", "line", "size")
+    left = prefix.select("line", F.col("doc_id").alias("a"), F.col("size").alias("sa"))
+    right = prefix.select("line", F.col("doc_id").alias("b"), F.col("size").alias("sb"))
+    pairs = left.join(right, "line").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") * top >= F.greatest("sa", "sb") * least)).select("a", "b", "sa", "sb").distinct()
+    first, second = kept.select(F.col("doc_id").alias("a"), "line", F.col("n").alias("na")), kept.select(F.col("doc_id").alias("b"), "line", F.col("n").alias("nb"))
+    shared = pairs.join(first, "a").join(second, ["b", "line"]).groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("na", "nb")).alias("shared"))
+    scored = shared.select("a", "b", F.expr(f"shared * {top} div greatest(sa, sb)").alias("score")).filter(F.col("score") >= least)
+    return scored.union(same)
 
 
 def changed_lines(versions: DataFrame) -> DataFrame:

@@ -45,3 +45,9 @@ def selector(log: DataFrame, n: int) -> DataFrame:
     """(ref, n, new_id): ref@{0} to ref@{n - 1}, the newest first."""
     w = Window.partitionBy("ref").orderBy(F.desc("seq"))
     return log.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).select("ref", (F.col("k") - 1).cast("long").alias("n"), "new_id")
+
+
+def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """rows (oid, …) with `notes`, the texts of (oid, text) notes joined by blank lines, null where there are none."""
+    joined = notes.groupBy("oid").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("notes"))
+    return rows.join(joined, "oid", "left")

@@ -90,13 +90,13 @@ def find_object(spark, sf):
     return diffs(spark, sf).filter("(old_content <=> 3) <> (new_content <=> 3)").select("oid", "parent", "path")
 
 
-@query(f"""WITH {LINES}, c AS (SELECT line, doc_id, count(*) AS n FROM lines WHERE length(line) > 20 GROUP BY ALL), r AS (SELECT line FROM c GROUP BY line HAVING count(*) <= 20),
-k AS (SELECT c.* FROM c JOIN r ON r.line = c.line), s AS (SELECT doc_id, sum(n) AS size FROM k GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared FROM k x JOIN k y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, (shared * 60000 // greatest(x.size, y.size))::BIGINT AS score FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE shared * 60000 // greatest(x.size, y.size) >= 30000""")
+@query(f"""WITH {LINES}, d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(string_split(text, chr(10)))) AS rep, len(string_split(text, chr(10))) AS size FROM documents),
+k AS (SELECT line, lines.doc_id, size, count(*) AS n FROM lines JOIN d ON d.doc_id = lines.doc_id WHERE d.doc_id = rep GROUP BY ALL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, greatest(x.size, y.size) AS size, sum(least(x.n, y.n)) AS shared FROM k x JOIN k y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, (shared * 60000 // size)::BIGINT AS score FROM p WHERE shared * 60000 // size >= 30000 UNION ALL SELECT rep, doc_id, 60000 FROM d WHERE doc_id <> rep""")
 def similarity_renames(spark, sf):
-    """Pairs of blobs that share half of their lines or more."""
-    return diff.line_similarity(lines(spark, sf).filter(F.length("line") > 20), 20, 30000)
+    """Pairs of blobs that share half of their lines or more; equal blobs are paired with the first of them only."""
+    return diff.line_similarity(lines(spark, sf), 30000)
 
 
 @query(VERSIONS + "SELECT doc_id, version, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted FROM changes GROUP BY ALL")

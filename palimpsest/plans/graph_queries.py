@@ -46,15 +46,17 @@ def heads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def closure(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "closure", lambda: graph.closure(commits(spark, sf), parents(spark, sf)))
+    """(tip, oid): what the tip of each branch reaches."""
+    return once(spark, sf, "closure", lambda: graph.reach_of(heads(spark, sf).select(F.col("oid").alias("tip")), parents(spark, sf)))
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "generations", lambda: graph.generation_numbers(closure(spark, sf)))
+    return once(spark, sf, "generations", lambda: graph.generations(commits(spark, sf), parents(spark, sf)))
 
 
 def chain(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.chain(closure(spark, sf))
+    """(tip, oid, depth): the first parents of the tip of each branch."""
+    return once(spark, sf, "chain", lambda: graph.first_parents(heads(spark, sf).select(F.col("oid").alias("tip")), parents(spark, sf)))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,8 +73,7 @@ def pair_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query(GRAPH + "SELECT DISTINCT closure.oid, ts FROM heads JOIN closure ON tip = heads.oid JOIN commits ON commits.oid = closure.oid")
 def rev_list_all(spark, sf):
     """Every commit that some branch reaches."""
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"))
-    return graph.reachable(tips, closure(spark, sf)).select("oid").distinct().join(commits(spark, sf).select("oid", "ts"), "oid")
+    return graph.reached(heads(spark, sf).select("oid"), parents(spark, sf)).join(commits(spark, sf).select("oid", "ts"), "oid")
 
 
 @query(GRAPH + "SELECT a, b, oid FROM sets WHERE in_b AND NOT in_a")
@@ -90,7 +91,7 @@ def rev_symmetric_diff(spark, sf):
 @query(f"{LINEAGE}, {FIRST}, {HEADS} SELECT tip, chain.oid, depth FROM chain JOIN heads ON heads.oid = tip")
 def rev_first_parent(spark, sf):
     """First-parent history of each branch."""
-    return chain(spark, sf).join(heads(spark, sf).select(F.col("oid").alias("tip")), "tip").select("tip", "oid", "depth")
+    return chain(spark, sf).select("tip", "oid", "depth")
 
 
 @query(LINEAGE + "SELECT oid, count(*)::BIGINT AS n_parents FROM parents GROUP BY oid HAVING count(*) >= 2")
@@ -130,7 +131,7 @@ def rev_count_left_right(spark, sf):
 SELECT a, b, oid AS base FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN closure ON closure.tip = d.oid WHERE d.a = c.a AND d.b = c.b AND d.oid <> c.oid AND closure.oid = c.oid)""")
 def merge_base_pairs(spark, sf):
     """All best common ancestors of neighbouring branches."""
-    return graph.merge_bases(pairs(spark, sf), closure(spark, sf))
+    return graph.merge_bases(pairs(spark, sf), closure(spark, sf), parents(spark, sf))
 
 
 @query(GRAPH + """, common AS (SELECT grp, closure.oid FROM heads JOIN closure ON tip = heads.oid GROUP BY grp, closure.oid
@@ -142,7 +143,7 @@ def merge_base_octopus(spark, sf):
     n = h.groupBy("grp").agg(F.count("*").alias("n"))
     shared = h.select("grp", F.col("oid").alias("tip")).join(closure(spark, sf), "tip").groupBy("grp", "oid").agg(F.count("*").alias("k"))
     common = shared.join(n, "grp").filter("k = n").select("grp", "oid")
-    return graph.best_common(common, closure(spark, sf), ["grp"]).groupBy("grp").agg(F.min("oid").alias("base"))
+    return graph.best_common(common, parents(spark, sf), ["grp"]).groupBy("grp").agg(F.min("oid").alias("base"))
 
 
 @query(GRAPH + "SELECT grp, oid FROM heads h WHERE NOT EXISTS (SELECT 1 FROM heads o JOIN closure ON tip = o.oid WHERE o.grp = h.grp AND o.oid <> h.oid AND closure.oid = h.oid)")
@@ -150,56 +151,27 @@ def independent_heads(spark, sf):
     return graph.independent(heads(spark, sf).select("grp", "oid"), closure(spark, sf), ["grp"])
 
 
-@query(GRAPH + "SELECT x.oid AS a, y.oid AS b, EXISTS (SELECT 1 FROM closure WHERE tip = y.oid AND closure.oid = x.oid) AS is_ancestor FROM commits x JOIN heads y ON x.grp = y.grp AND x.branch <> y.branch WHERE x.oid % 10 = 0")
+@query(GRAPH + "SELECT x.oid AS a, y.oid AS b, EXISTS (SELECT 1 FROM closure WHERE tip = y.oid AND closure.oid = x.oid) AS is_ancestor FROM commits x JOIN heads y ON x.grp = y.grp AND x.branch <> y.branch")
 def is_ancestor_pairs(spark, sf):
     """Whether a branch reaches a commit of another branch of its group."""
-    left = commits(spark, sf).filter("oid % 10 = 0").select(F.col("oid").alias("a"), "grp", F.col("branch").alias("own"))
-    asked = left.join(heads(spark, sf).withColumnRenamed("oid", "b"), "grp").filter("own <> branch").select("a", "b")
-    known = closure(spark, sf).select(F.col("tip").alias("b"), F.col("oid").alias("a"), F.lit(True).alias("yes"))
-    return asked.join(known, ["a", "b"], "left").select("a", "b", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
-
-
-@query()
-def is_ancestor_pairs_all(spark, sf):
-    """Whether a branch reaches a commit of another branch of its group, for all commits."""
     left = commits(spark, sf).select(F.col("oid").alias("a"), "grp", F.col("branch").alias("own"))
     asked = left.join(heads(spark, sf).withColumnRenamed("oid", "b"), "grp").filter("own <> branch").select("a", "b")
     known = closure(spark, sf).select(F.col("tip").alias("b"), F.col("oid").alias("a"), F.lit(True).alias("yes"))
     return asked.join(known, ["a", "b"], "left").select("a", "b", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
 
 
-_BRANCH_AT = "commits.oid % 50 = 0"
-
-
-@query(GRAPH + f"SELECT commits.oid, heads.branch FROM commits JOIN closure ON closure.oid = commits.oid JOIN heads ON heads.oid = closure.tip WHERE {_BRANCH_AT}")
+@query(GRAPH + f"SELECT commits.oid, heads.branch FROM commits JOIN closure ON closure.oid = commits.oid JOIN heads ON heads.oid = closure.tip")
 def branch_contains(spark, sf):
-    """Branches that contain each asked commit."""
-    asked = commits(spark, sf).filter("oid % 50 = 0").select("oid")
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "branch")
-    return closure(spark, sf).join(asked, "oid").join(tips, "tip").select("oid", "branch")
-
-
-@query(GRAPH + f"""SELECT commits.oid, heads.branch FROM commits JOIN heads ON heads.grp = commits.grp WHERE {_BRANCH_AT}
-  AND NOT EXISTS (SELECT 1 FROM closure WHERE tip = heads.oid AND closure.oid = commits.oid)""")
-def no_contains(spark, sf):
-    """Branches of the commit's group that don't contain it."""
-    asked = commits(spark, sf).filter("oid % 50 = 0").select("oid", "grp")
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "grp", "branch")
-    return asked.join(tips, "grp").join(closure(spark, sf), ["tip", "oid"], "left_anti").select("oid", "branch")
-
-
-@query()
-def branch_contains_all(spark, sf):
     """Branches that contain each commit."""
     tips = heads(spark, sf).select(F.col("oid").alias("tip"), "branch")
     return closure(spark, sf).join(tips, "tip").select("oid", "branch")
 
 
-@query()
-def no_contains_all(spark, sf):
+@query(GRAPH + f"""SELECT commits.oid, heads.branch FROM commits JOIN heads ON heads.grp = commits.grp WHERE NOT EXISTS (SELECT 1 FROM closure WHERE tip = heads.oid AND closure.oid = commits.oid)""")
+def no_contains(spark, sf):
     """Branches of each commit's group that don't contain it."""
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "grp", "branch")
     asked = commits(spark, sf).select("oid", "grp")
+    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "grp", "branch")
     return asked.join(tips, "grp").join(closure(spark, sf), ["tip", "oid"], "left_anti").select("oid", "branch")
 
 
@@ -254,7 +226,7 @@ def ancestry_path(spark, sf):
     """Commits between each branch's tip and the smallest id that it reaches."""
     reach = closure(spark, sf)
     asked = heads(spark, sf).select(F.col("oid").alias("tip")).join(reach, "tip").groupBy("tip").agg(F.min("oid").alias("a")).select("a", F.col("tip").alias("b"))
-    return graph.ancestry_path(asked, reach)
+    return graph.ancestry_path(asked, reach, parents(spark, sf))
 
 
 @query(GRAPH + "SELECT DISTINCT a, b, parent AS oid FROM sets JOIN parents ON parents.oid = sets.oid WHERE in_b AND NOT in_a AND EXISTS (SELECT 1 FROM sets s WHERE s.a = sets.a AND s.b = sets.b AND s.oid = parent AND s.in_a)")
@@ -265,6 +237,77 @@ def boundary_commits(spark, sf):
     return edge.join(sets.filter("in_a"), ["a", "b", "oid"], "left_semi")
 
 
+@query(f"""{LINEAGE}, down AS (SELECT oid, ts AS value FROM commits UNION SELECT parents.oid, value + 1 FROM down JOIN parents ON parents.parent = down.oid)
+SELECT oid, max(value)::BIGINT AS corrected FROM down GROUP BY oid""")
+def corrected_dates(spark, sf):
+    """Commit dates that are above those of all parents."""
+    own = commits(spark, sf).select("oid", F.col("ts").alias("value"))
+    return graph.risen(own, parents(spark, sf)).withColumnRenamed("value", "corrected")
+
+
+@query(GRAPH + "SELECT x.branch, y.branch AS into_branch FROM heads x JOIN heads y ON x.grp = y.grp AND x.branch <> y.branch WHERE NOT EXISTS (SELECT 1 FROM closure WHERE tip = y.oid AND closure.oid = x.oid)")
+def branch_no_merged(spark, sf):
+    """Branches whose tip another branch of the group doesn't reach."""
+    h = heads(spark, sf)
+    into = h.select("grp", F.col("oid").alias("tip"), F.col("branch").alias("into_branch"))
+    return h.join(into, "grp").filter("branch <> into_branch").join(closure(spark, sf), ["tip", "oid"], "left_anti").select("branch", "into_branch")
+
+
+@query(GRAPH + "SELECT count(*) = 0 AS all_reached, count(*)::BIGINT AS n_missing FROM commits WHERE kind = 'F' AND oid NOT IN (SELECT closure.oid FROM heads JOIN closure ON tip = heads.oid WHERE branch % 4 <> 2)")
+def can_all_reach(spark, sf):
+    """Whether some of the kept branches reach all commits of one kind."""
+    targets = commits(spark, sf).filter("kind = 'F'").select("oid")
+    return graph.all_reached(targets, heads(spark, sf).filter("branch % 4 <> 2").select("oid"), parents(spark, sf))
+
+
+@query(GRAPH + """, lost AS (SELECT oid, ts FROM commits WHERE oid NOT IN (SELECT closure.oid FROM heads JOIN closure ON tip = heads.oid WHERE branch % 3 <> 0)),
+young AS (SELECT DISTINCT closure.oid FROM lost JOIN closure ON tip = lost.oid WHERE ts > 880000000) SELECT oid FROM lost WHERE ts <= 880000000 AND oid NOT IN (SELECT oid FROM young)""")
+def prune_recent(spark, sf):
+    """Commits that pruning takes: out of reach, old, and not needed by a young one that is out of reach."""
+    tips = heads(spark, sf).filter("branch % 3 <> 0").select("oid")
+    return graph.prunable(commits(spark, sf).select("oid", F.col("ts").alias("mtime")), tips, parents(spark, sf), 880000000).select("oid")
+
+
+@query(GRAPH + "SELECT closure.oid, min('c' || branch) AS source FROM heads JOIN closure ON tip = heads.oid GROUP BY closure.oid")
+def log_source(spark, sf):
+    """The branch by which each commit is reached."""
+    tips = heads(spark, sf).select(F.col("oid").alias("tip"), F.concat(F.lit("c"), "branch").alias("name"))
+    return graph.sources(tips, closure(spark, sf))
+
+
+@query(GRAPH + """, held AS (SELECT x.oid AS tip, c.oid FROM heads x JOIN commits c ON c.branch = x.branch - 1 AND c.grp = x.grp JOIN closure ON closure.tip = x.oid AND closure.oid = c.oid),
+best AS (SELECT tip, oid FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o JOIN closure ON closure.tip = o.oid WHERE o.tip = h.tip AND o.oid <> h.oid AND closure.oid = h.oid)),
+one AS (SELECT tip, CASE WHEN count(*) = 1 THEN min(oid) END AS oid FROM best GROUP BY tip)
+SELECT heads.oid AS tip, one.oid FROM heads LEFT JOIN one ON one.tip = heads.oid""")
+def fork_point(spark, sf):
+    """Where each branch left the one before it, by the latter's log."""
+    tips = heads(spark, sf).select(F.col("oid").alias("tip"), F.concat("grp", F.lit("/"), F.col("branch") - 1).alias("ref"))
+    log = commits(spark, sf).select(F.concat("grp", F.lit("/"), "branch").alias("ref"), "oid")
+    return graph.fork_points(tips, log, closure(spark, sf), parents(spark, sf))
+
+
+@query(GRAPH + """, r AS (SELECT a, b, oid FROM sets WHERE in_b AND NOT in_a),
+w AS (SELECT r.a, r.b, r.oid, count(*)::BIGINT AS weight FROM r JOIN closure ON tip = r.oid JOIN r s ON s.a = r.a AND s.b = r.b AND s.oid = closure.oid GROUP BY r.a, r.b, r.oid),
+t AS (SELECT a, b, count(*)::BIGINT AS total FROM r GROUP BY a, b)
+SELECT w.a, w.b, oid, row_number() OVER (PARTITION BY w.a, w.b ORDER BY least(weight, total - weight) DESC, oid)::BIGINT AS place FROM w JOIN t ON t.a = w.a AND t.b = w.b""")
+def bisect_all(spark, sf):
+    """The commits of each range in the order in which bisection prefers them."""
+    w = graph.bisect_weights(pair_sets(spark, sf), parents(spark, sf)).withColumn("best", F.least(F.col("weight"), F.col("total") - F.col("weight")))
+    return graph.ranked(w, ["a", "b"], [F.desc("best"), "oid"], 1 << 62).select("a", "b", "oid", F.col("rank").alias("place"))
+
+
+@query(GRAPH + "SELECT x.branch, y.branch AS other, bool_and(c.oid IS NULL OR d.oid IS NOT NULL) AS subset FROM heads x JOIN heads y ON y.grp = x.grp AND y.branch <> x.branch JOIN closure c ON c.tip = x.oid LEFT JOIN closure d ON d.tip = y.oid AND d.oid = c.oid GROUP BY ALL")
+def reach_subset(spark, sf):
+    """Whether all that a branch reaches is reached by another one of its group: equal sizes of the set and of the intersection."""
+    h = heads(spark, sf)
+    reach = closure(spark, sf)
+    mine = h.select("grp", "branch", F.col("oid").alias("tip")).join(reach, "tip").select("grp", "branch", "oid")
+    other = h.select("grp", F.col("branch").alias("other"))
+    asked = mine.join(other, "grp").filter("branch <> other")
+    theirs = mine.select(F.col("branch").alias("other"), "oid", F.lit(True).alias("hit"))
+    return asked.join(theirs, ["other", "oid"], "left").groupBy("branch", "other").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("subset"))
+
+
 @query(LINEAGE + "SELECT parent AS oid, string_agg(DISTINCT oid::VARCHAR, ' ' ORDER BY oid::VARCHAR) AS children FROM parents GROUP BY parent")
 def children_list(spark, sf):
     grouped = parents(spark, sf).groupBy(F.col("parent").alias("oid"))
@@ -305,7 +348,7 @@ SELECT oid, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY oid O
 def name_rev(spark, sf):
     """The nearest tag above each commit, first parents being nearer than merged ones."""
     tagged = commits(spark, sf).filter("subject = '1-URGENT'").select("oid", F.concat(F.lit("v"), "oid").alias("name"))
-    return graph.nearest_names(tagged, closure(spark, sf))
+    return graph.name_by_walk(tagged, parents(spark, sf))
 
 
 @query(GRAPH + f""", {_TAGGED}, c AS (SELECT heads.oid AS tip, tagged.oid AS tag, name FROM heads JOIN closure ON closure.tip = heads.oid JOIN tagged ON tagged.oid = closure.oid),
@@ -317,7 +360,8 @@ def describe_nearest_tag(spark, sf):
     tagged = commits(spark, sf).filter("subject = '1-URGENT'").select(F.col("oid").alias("tag"), F.concat(F.lit("v"), "oid").alias("name"))
     tips = heads(spark, sf).select(F.col("oid").alias("tip"))
     of_tip = tips.join(reach, "tip")
-    size = reach.groupBy("tip").agg(F.count("*").alias("n"))
+    reached_tags = of_tip.select("oid").distinct().join(tagged.select(F.col("tag").alias("oid")), "oid").select(F.col("oid").alias("tip"))
+    size = reach.union(graph.reach_of(reached_tags, parents(spark, sf)).select("tip", "oid")).distinct().groupBy("tip").agg(F.count("*").alias("n"))
     # a reachable tag's closure lies wholly inside the tip's, so that sizes suffice
     found = of_tip.join(tagged, of_tip["oid"] == tagged["tag"]).join(size, "tip").join(size.select(F.col("tip").alias("tag"), F.col("n").alias("m")), "tag")
     best = found.withColumn("since", F.col("n") - F.col("m")).groupBy("tip").agg(F.min_by(F.struct("name", "since"), F.struct("since", "tag")).alias("x"))
@@ -329,7 +373,7 @@ w AS (SELECT r.a, r.b, r.oid, count(*)::BIGINT AS weight FROM r JOIN closure ON
 t AS (SELECT a, b, count(*)::BIGINT AS total FROM r GROUP BY a, b)
 SELECT a, b, oid, weight, total FROM (SELECT w.*, total, row_number() OVER (PARTITION BY w.a, w.b ORDER BY least(weight, total - weight) DESC, oid) AS k FROM w JOIN t ON t.a = w.a AND t.b = w.b) WHERE k = 1""")
 def bisect_midpoint(spark, sf):
-    return graph.bisect(pairs(spark, sf), closure(spark, sf))
+    return graph.bisect(pair_sets(spark, sf), parents(spark, sf))
 
 
 @query(GRAPH + """SELECT closure.oid, string_agg((branch % 4)::VARCHAR, '' ORDER BY branch) AS marks, count(*)::BIGINT AS n FROM heads JOIN closure ON tip = heads.oid GROUP BY closure.oid""")
@@ -346,8 +390,7 @@ _KEPT = "kept AS (SELECT DISTINCT closure.oid FROM heads JOIN closure ON tip = h
 @query(GRAPH + f", {_KEPT} SELECT oid FROM commits WHERE oid NOT IN (SELECT oid FROM kept)")
 def unreachable_objects(spark, sf):
     """Commits that no kept branch reaches, when every third branch is deleted."""
-    tips = heads(spark, sf).filter("branch % 3 <> 0").select(F.col("oid").alias("tip"))
-    kept = tips.join(closure(spark, sf), "tip").select("oid").distinct()
+    kept = graph.reached(heads(spark, sf).filter("branch % 3 <> 0").select("oid"), parents(spark, sf))
     return commits(spark, sf).select("oid").join(kept, "oid", "left_anti")
 
 

@@ -91,19 +91,11 @@ def pack_geometry_split(spark, sf):
     return objects.geometry_split(packs, ["grp"])
 
 
-@query(REFLOG + """, p AS (SELECT (ref + 1) % 150 AS ref, new_id AS probe, ts - 3600 AS asked FROM reflog WHERE new_id % 37 = 0)
-SELECT p.ref, probe, asked AS "at", (SELECT arg_max(r.new_id, r.seq) FROM reflog r WHERE r.ref = p.ref AND r.ts <= p.asked) AS new_id FROM p""")
+@query(REFLOG + """, p AS (SELECT (ref + 1) % 150 AS ref, new_id AS probe, ts - 3600 AS asked FROM reflog)
+SELECT p.ref, probe, asked AS "at", r.new_id FROM p ASOF LEFT JOIN (SELECT ref, ts, arg_max(new_id, seq) AS new_id FROM reflog GROUP BY ref, ts) r ON r.ref = p.ref AND p.asked >= r.ts""")
 def reflog_as_of(spark, sf):
     """Values of references at given times."""
     r = reflog(spark, sf)
-    probes = r.filter("new_id % 37 = 0").select(((F.col("ref") + 1) % 150).alias("ref"), F.col("new_id").alias("probe"), (F.col("ts") - 3600).alias("at"))
-    return log.as_of(r, probes)
-
-
-@query()
-def reflog_as_of_all(spark, sf):
-    """Values of references at given times, one asked for each entry."""
-    r = reflog(spark, sf)
     probes = r.select(((F.col("ref") + 1) % 150).alias("ref"), F.col("new_id").alias("probe"), (F.col("ts") - 3600).alias("at"))
     return log.as_of(r, probes)
 

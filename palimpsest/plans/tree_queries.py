@@ -26,7 +26,7 @@ SELECT a AS key, path, base, ours, theirs, CASE WHEN ours IS NOT DISTINCT FROM t
 FROM m WHERE NOT (base IS NOT DISTINCT FROM ours AND base IS NOT DISTINCT FROM theirs)""")
 def merge_trees_outcome(spark, sf):
     """Three-way merges of neighbouring branches over their merge base."""
-    bases = graph.merge_bases(pairs(spark, sf), closure(spark, sf)).groupBy("a", "b").agg(F.min("base").alias("base"))
+    bases = graph.merge_bases(pairs(spark, sf), closure(spark, sf), parents(spark, sf)).groupBy("a", "b").agg(F.min("base").alias("base"))
     return trees.merge_trees(bases.select(F.col("a").alias("key"), "base", F.col("a").alias("ours"), F.col("b").alias("theirs")), values(spark, sf))
 
 

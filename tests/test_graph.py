@@ -32,15 +32,15 @@ def pair(spark, a, b):
 
 
 def test_merge_base(spark, crossing):
-    _, _, reach = crossing
-    assert [r["base"] for r in graph.merge_bases(pair(spark, "G", "H"), reach).collect()] == ["B"]
-    assert [r["base"] for r in graph.merge_bases(pair(spark, "H", "G"), reach).collect()] == ["B"]
+    _, edges, reach = crossing
+    assert [r["base"] for r in graph.merge_bases(pair(spark, "G", "H"), reach, edges).collect()] == ["B"]
+    assert [r["base"] for r in graph.merge_bases(pair(spark, "H", "G"), reach, edges).collect()] == ["B"]
 
 
 def test_merge_base_with_unsynchronised_clocks(spark):
     nodes, edges = edges_of(spark, "S; C0: S; C1: C0; C2: C1; L0: S; L1: L0; L2: L1; R0: S; R1: R0; R2: R1; PL: L2 C2; PR: C2 R2")
     reach = graph.closure(nodes, edges)
-    assert [r["base"] for r in graph.merge_bases(pair(spark, "PL", "PR"), reach).collect()] == ["C2"]
+    assert [r["base"] for r in graph.merge_bases(pair(spark, "PL", "PR"), reach, edges).collect()] == ["C2"]
 
 
 def test_independent(spark, crossing):
@@ -51,10 +51,10 @@ def test_independent(spark, crossing):
 
 
 def test_ranges_and_ancestry_path(spark, ladder):
-    _, _, reach = ladder
+    _, edges, reach = ladder
     sets = graph.pair_sets(pair(spark, "D", "M"), reach)
     assert {r["oid"] for r in sets.filter("in_b and not in_a").collect()} == set("EFGHIJKLM")
-    assert {r["oid"] for r in graph.ancestry_path(pair(spark, "D", "M"), reach).collect()} == set("EFHIJLM")
+    assert {r["oid"] for r in graph.ancestry_path(pair(spark, "D", "M"), reach, edges).collect()} == set("EFHIJLM")
     both = graph.pair_sets(pair(spark, "F", "I"), reach)
     assert {r["oid"] for r in both.filter("in_a <> in_b").collect()} == set("FGHI")
 
@@ -77,6 +77,19 @@ def test_closure_walk_and_generations_agree(spark, ladder):
     assert level["A"] == 1 and level["M"] == 10
     chain = {(r["tip"], r["oid"], r["depth"]) for r in graph.chain(reach).collect()}
     assert chain == {(r["tip"], r["oid"], r["depth"]) for r in graph.walk(tips, edges, first_parent=True).collect()}
+    assert chain == {(r["tip"], r["oid"], r["depth"]) for r in graph.first_parents(tips, edges).collect()}
+    assert {(r["tip"], r["oid"]) for r in graph.reach_of(tips, edges).collect()} == {(r["tip"], r["oid"]) for r in reach.collect()}
+    few = nodes.filter("oid in ('G', 'F')")
+    assert {r["oid"] for r in graph.reached(few, edges).collect()} == {r["oid"] for r in reach.filter("tip in ('G', 'F')").collect()}
+
+
+def test_first_parents_of_one_long_branch(spark):
+    n = 20_000
+    edges = spark.range(1, n).selectExpr("id as oid", "1 as ord", "id - 1 as parent")
+    tips = spark.createDataFrame([(n - 1,), (n // 2,)], "tip long")
+    got = graph.first_parents(tips, edges)
+    assert got.count() == n + n // 2 + 1
+    assert got.filter("tip - depth <> oid").count() == 0
 
 
 def test_a_walk_stops(spark, ladder):
@@ -106,5 +119,6 @@ def test_bisect_takes_the_middle(spark):
     nodes, edges = edges_of(spark, "a; b: a; c: b; d: c; e: d")
     numbered = nodes.selectExpr("ascii(oid) as oid"), edges.selectExpr("ascii(oid) as oid", "ord", "ascii(parent) as parent")
     reach = graph.closure(*numbered)
-    r = graph.bisect(spark.createDataFrame([(97, 101)], "a int, b int"), reach).collect()[0]
+    sets = graph.pair_sets(spark.createDataFrame([(97, 101)], "a int, b int"), reach)
+    r = graph.bisect(sets, numbered[1]).collect()[0]
     assert (chr(r["oid"]), r["weight"], r["total"]) == ("c", 2, 4)

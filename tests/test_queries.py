@@ -47,17 +47,3 @@ def test_query(spark, duck, name):
     expected, named = rows(duck.execute(sql).fetchdf())
     assert columns == named
     assert got == expected
-
-
-WHOLE = {"is_ancestor_pairs": " WHERE x.oid % 10 = 0", "branch_contains": " WHERE commits.oid % 50 = 0", "no_contains": "commits.oid % 50 = 0\n  AND ", "reflog_as_of": " WHERE new_id % 37 = 0"}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_query(spark, duck, name):
-    """The _all queries against the SQL of the subset without its filter."""
-    sql = catalogue.oracle_sql()[name]
-    assert sql.count(WHOLE[name]) == 1
-    got, columns = rows(catalogue.queries()[f"{name}_all"](spark, SF).toPandas())
-    expected, named = rows(duck.execute(sql.replace(WHOLE[name], "")).fetchdf())
-    assert columns == named
-    assert got == expected
