@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, settle, tidy, written
+from .common import buckets, release, settle, tidy, written
 from .components import components
 from .words import mix, shingles, slices, text_buffers, word_table
 
@@ -145,17 +145,20 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             part = np.frombuffer(blob.as_buffer(), np.uint8).astype(np.int64)
-            sums[chunk] = sums[chunk] + part if chunk in sums else part
+            sums[chunk] = np.minimum(sums[chunk] + part, 0xFFFFFFFF) if chunk in sums else part
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
     """Commonness of each cell: 0 within the noise of the sketch, then one for each doubling above it."""
     mean = sketch.mean()
     spread = math.sqrt(mean) + 1
-    over = np.maximum((sketch - mean) / spread, 1e-9)
-    return np.where(over > 3, 1 + np.log2(over), 0).astype(np.uint8)
+    out = np.zeros(len(sketch), np.uint8)
+    for at in range(0, len(sketch), CHUNK):
+        over = np.maximum((sketch[at : at + CHUNK] - mean) / spread, 1e-9)
+        out[at : at + CHUNK] = np.where(over > 3, 1 + np.log2(over), 0)
+    return out
 
 
 def boundary(histogram: dict[int, int], t: Threshold) -> int:
@@ -386,12 +389,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     profile = written(source.mapInArrow(tidy(_profile(k)), "doc long, n long, sid long, classes binary, chunk int, counts binary"))
     base = profile.filter("chunk is null").select("doc", "n", "sid")
-    sketch = np.zeros(SKETCH, np.int64)
-    for row in profile.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
-        sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], "<i8")
+    sketch = np.zeros(SKETCH, np.uint32)
+    for row in profile.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").toLocalIterator():
+        sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], "<u4")
     histogram = {r["n"]: r["count"] for r in base.filter(f"n between 1 and {LARGEST_LIGHT}").groupBy("n").count().collect()}
     x = boundary(histogram, t)
     level = np.minimum(levels(sketch), 31)
+    del sketch
+    release()
 
     packed = source.select("text").mapInArrow(tidy(_postings(k, t, x, level, buckets(docs))), "bucket long, entries binary")
     met = written(packed.groupBy("bucket").applyInArrow(_meet(t, x), "kind int, a long, b long, p long, q long"))

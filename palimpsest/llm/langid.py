@@ -21,7 +21,7 @@ there is nothing to learn from.  Rows that repeat are predicted each; extra colu
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import release, tidy
 from .words import text_buffers
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (3, 4, 5)
@@ -96,15 +96,15 @@ class Model:
     threshold: float
 
 
-def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate: float = 0.5, batch: int = 32) -> Model:
+def fit(rows: Iterable[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate: float = 0.5, batch: int = 32) -> Model:
     """Trains on (language, n-gram counts) rows; every fifth row calibrates."""
-    rows = [(lang, g["gram"].astype(np.int32), g["times"].astype(np.float64)) for lang, g in rows if len(g)]
+    # of each text its buckets and the running share of its n-grams that they hold
+    rows = [(lang, g["gram"].copy(), (np.cumsum(g["times"], dtype=np.float64) / g["times"].sum(dtype=np.float64)).astype(np.float32)) for lang, g in rows if len(g)]
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     random = np.random.default_rng(seed)
     label = np.array([languages.index(lang) for lang, _, _ in rows])
-    shares = [np.cumsum(t) / t.sum() for _, _, t in rows]
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 25 else np.zeros(len(rows), bool)
     embed = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight = random.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32)
@@ -124,10 +124,10 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate
             for i in pick:
                 if whole:
                     pieces.append(rows[i][1])
-                    weights.append(rows[i][2] / rows[i][2].sum())
+                    weights.append(np.diff(rows[i][2], prepend=np.float32(0)))
                 else:
                     n = int(2 ** random.uniform(3, 9))
-                    pieces.append(rows[i][1][np.searchsorted(shares[i], random.random(n))])
+                    pieces.append(_drawn(rows[i], random.random(n)))
                     weights.append(np.full(n, 1 / n))
             sizes = np.array([len(p) for p in pieces])
             flat, share = np.concatenate(pieces), np.concatenate(weights).astype(np.float32)
@@ -152,9 +152,9 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate
     z = np.zeros((len(check), len(languages)))
     for j, i in enumerate(check):  # short draws and whole texts in turn
         if j % 2:
-            z[j] = logits[rows[i][1][np.searchsorted(shares[i], random.random(max(8, 24 * (j % 8))))]].mean(0) + bias
+            z[j] = logits[_drawn(rows[i], random.random(max(8, 24 * (j % 8))))].mean(0) + bias
         else:
-            z[j] = rows[i][2] @ logits[rows[i][1]] / rows[i][2].sum() + bias
+            z[j] = np.diff(rows[i][2], prepend=np.float32(0)) @ logits[rows[i][1]] + bias
     best, heat = np.inf, 1.0
     for t in np.geomspace(0.2, 8, 40):
         y = z / t
@@ -170,6 +170,11 @@ def fit(rows: list[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4, rate
     return Model(languages, (logits / heat).astype(np.float32), (bias / heat).astype(np.float32), threshold)
 
 
+def _drawn(row: tuple[str, np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """n-grams of a text at random places from 0 to 1."""
+    return row[1][np.minimum(np.searchsorted(row[2], at), len(row[1]) - 1)]
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fits a model on the bounded sample of rows with a text and a language."""
     rows = docs.filter(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
@@ -183,7 +188,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return fit([])
     picked = rows.filter(F.col("h") <= last).select("lang", "text", "h").mapInArrow(_count_grams, "lang string, grams binary, h long").collect()
     picked = sorted(picked, key=lambda r: (r["h"], r["lang"]))[:TRAIN_DOCS]
-    return fit([(r["lang"], np.frombuffer(zlib.decompress(r["grams"]), _COUNT)) for r in picked])
+    model = fit((r["lang"], np.frombuffer(zlib.decompress(r["grams"]), _COUNT)) for r in picked)
+    del picked
+    release()
+    return model
 
 
 def scores(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
