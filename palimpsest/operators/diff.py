@@ -66,6 +66,18 @@ def directory_votes(renames: DataFrame, by: list[str]) -> DataFrame:
     return top.filter("n = 1").select(*by, "old_dir", "new_dir", "votes")
 
 
+def remapped(paths: DataFrame, renames: DataFrame, by: list[str]) -> DataFrame:
+    """paths (by…, path) that lie in a renamed directory, with `moved`: of the (by…, old_dir, new_dir) renames the longest above a path decides.
+
+    Each path meets its own directories by an equi-join, never all renames.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    steps = paths.filter(F.size(parts) > 1).select(*by, "path", F.explode(above).alias("old_dir"))
+    best = steps.join(renames.select(*by, "old_dir", "new_dir"), [*by, "old_dir"]).groupBy(*by, "path").agg(F.max_by(F.struct("old_dir", "new_dir"), F.length("old_dir")).alias("x"))
+    return best.select(*by, "path", F.concat("x.new_dir", F.substring(F.col("path"), F.length("x.old_dir") + 1, F.length("path"))).alias("moved"))
+
+
 def line_similarity(lines: DataFrame, least: int, top: int = 60000) -> DataFrame:
     """(a, b, score): pairs of blobs by shared lines as a multiset, score of `top` at least `least`, over all lines.
 

@@ -109,3 +109,23 @@ def status_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     staged, unstaged, untracked = ~h.eqNullSafe(i), i.isNotNull() & ~i.eqNullSafe(w), i.isNull() & h.isNull() & w.isNotNull()
     counts = rows.groupBy(*by).agg(F.count_if(staged).alias("staged"), F.count_if(unstaged).alias("unstaged"), F.count_if(untracked).alias("untracked"))
     return counts.withColumn("clean", (F.col("staged") + F.col("unstaged") + F.col("untracked")) == 0)
+
+
+def flattened(roots: DataFrame, entries: DataFrame, most_levels: int = 4096) -> DataFrame:
+    """(root, path, type, mode, id): all that isn't a tree below (root) trees; entries are (tree, name, type, mode, id) rows.
+
+    A level in each round: the trees still to be opened are written to the shared folder, and only whether some are left reaches the driver.
+    """
+    from ..plans.storage import settled
+
+    level = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix"))
+    done = None
+    for _ in range(most_levels):
+        opened = settled(level.join(entries, "tree").select("root", F.concat("prefix", "name").alias("path"), "type", "mode", "id"))
+        found = opened.filter("type <> 'tree'")
+        done = found if done is None else done.union(found)
+        below = opened.filter("type = 'tree'")
+        if below.isEmpty():
+            return done
+        level = below.select("root", F.col("id").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
+    raise RuntimeError("trees are nested without end")

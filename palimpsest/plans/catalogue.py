@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_queries, graph_queries, log_queries, pretty_queries, ref_queries, tree_queries  # noqa: F401  they register themselves
+from . import content_queries, graph_queries, log_queries, pretty_queries, ref_queries, text_queries, tree_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 
