@@ -33,6 +33,7 @@ from .common import release, tidy
 from .words import text_buffers
 
 TRAIN_DOCS = 2000
+LEAST_STEPS = 400
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (3, 4, 5)
@@ -110,6 +111,8 @@ def fit(rows: Iterable[tuple[str, np.ndarray]], seed: int = 7, epochs: int = 4,
     weight = random.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     train = np.flatnonzero(~held)
+    # small samples are gone through more often
+    epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(train), 1)))
     steps = epochs * -(-len(train) // batch)
     step = 0
     for _ in range(epochs):
