@@ -51,3 +51,16 @@ def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
     """rows (oid, …) with `notes`, the texts of (oid, text) notes joined by blank lines, null where there are none."""
     joined = notes.groupBy("oid").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("notes"))
     return rows.join(joined, "oid", "left")
+
+
+def parse_mailmap(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(commit_email, commit_name, proper_name, proper_email) of mailmap lines; comments and lines without an address give no rows.
+
+    `Proper <commit@>`, `<proper@> <commit@>`, `Proper <proper@> <commit@>` and `Proper <proper@> Commit <commit@>`.
+    """
+    text = F.trim(F.regexp_replace(line, r"(^|\s)#.*$", ""))
+    form = r"^([^<>]*)<([^<>]*)>\s*(?:([^<>]*)<([^<>]*)>)?\s*$"
+    part = lambda i: F.nullif(F.trim(F.regexp_extract(text, form, i)), F.lit(""))
+    rows = lines.filter(text.rlike(form))
+    second = part(4)
+    return rows.select(F.coalesce(second, part(2)).alias("commit_email"), F.when(second.isNotNull(), part(3)).alias("commit_name"), part(1).alias("proper_name"), F.when(second.isNotNull(), part(2)).alias("proper_email"))

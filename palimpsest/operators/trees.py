@@ -129,3 +129,46 @@ def flattened(roots: DataFrame, entries: DataFrame, most_levels: int = 4096) ->
             return done
         level = below.select("root", F.col("id").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
     raise RuntimeError("trees are nested without end")
+
+
+def follow_links(asked: DataFrame, paths: DataFrame, most_hops: int = 40) -> DataFrame:
+    """(root, path, result, found): what (root, path) rows stand for when symbolic links are followed.
+
+    paths holds (root, path, link) rows of flattened trees, link being the target of a symbolic link, null for other files.  result is `found`, `missing`,
+    `dangling` (a link leads nowhere), `loop` (more than most_hops links), `outside` (a target leads out of the tree) or `not_dir` (a file in the middle).
+    In each round a path meets the links among its own prefixes by an equi-join, and the shortest one is replaced.
+    """
+    from ..plans.storage import settled
+
+    prefix = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), F.lit(1), n), "/"))
+    links = settled(paths.filter("link is not null").select("root", F.col("path").alias("at"), "link"))
+    files = paths.filter("link is null").select("root", F.col("path").alias("at"), F.lit(True).alias("file"))
+    directories = paths.select("root", F.explode(F.slice(prefix(F.col("path")), F.lit(1), F.size(F.split("path", "/")) - 1)).alias("at")).distinct().withColumn("dir", F.lit(True))
+    left = settled(asked.select("root", "path").distinct().withColumn("now", F.col("path")).withColumn("hops", F.lit(0)))
+    still, outside, looped = None, None, None
+    for _ in range(most_hops + 1):
+        steps = left.withColumn("at", F.explode(prefix(F.col("now")))).join(links, ["root", "at"])
+        first = steps.groupBy("root", "path", "now", "hops").agg(F.min_by(F.struct("at", "link"), F.length("at")).alias("x"))
+        rest = left.join(first.select("root", "path"), ["root", "path"], "left_anti")
+        still = rest if still is None else still.union(rest)
+        # the link's own folder, its target and what follows it, with . and .. taken away; a path that leaves the tree becomes null
+        parts = F.split(F.concat_ws("/", F.nullif(F.regexp_extract("x.at", "^(.*)/[^/]*$", 1), F.lit("")), "x.link", F.nullif(F.substring(F.col("now"), F.length("x.at") + 2, F.length("now")), F.lit(""))), "/")
+        kept = F.aggregate(
+            parts,
+            F.array().cast("array<string>"),
+            lambda acc, p: F.when(acc.isNull(), acc).when(p.isin("", "."), acc).when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.concat(acc, F.array(p))),
+        )
+        now = F.when(~F.col("x.link").startswith("/"), F.array_join(kept, "/"))
+        left = settled(first.select("root", "path", now.alias("now"), (F.col("hops") + 1).alias("hops")))
+        away = left.filter("now is null")
+        outside = away if outside is None else outside.union(away)
+        looped = left.filter("now is not null")
+        left = looped
+        if left.isEmpty():
+            break
+    ended = still.withColumn("at", F.col("now")).join(files, ["root", "at"], "left").join(directories, ["root", "at"], "left")
+    above = still.withColumn("at", F.explode(F.slice(prefix(F.col("now")), F.lit(1), F.size(F.split("now", "/")) - 1))).join(files, ["root", "at"]).select("root", "path").distinct().withColumn("below_file", F.lit(True))
+    result = F.when(F.col("file").isNotNull() | F.col("dir").isNotNull(), "found").when(F.col("below_file").isNotNull(), "not_dir").when(F.col("hops") > 0, "dangling").otherwise("missing")
+    told = ended.join(above, ["root", "path"], "left").select("root", "path", result.alias("result"), F.when(result == "found", F.col("now")).alias("found"))
+    none = F.lit(None).cast("string").alias("found")
+    return told.union(outside.select("root", "path", F.lit("outside").alias("result"), none)).union(looped.select("root", "path", F.lit("loop").alias("result"), none))

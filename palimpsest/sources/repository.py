@@ -2,7 +2,7 @@
 
 `spark.read.format("history").option("table", "commits").load(path)` reads the metadata folder of a repository (the folder
 that holds HEAD and objects, or its parent).  Tables: objects, commits, commit_parents, tree_entries, tags, refs, reflog,
-index_entries, pack_objects.
+index_entries, pack_objects, commit_graph, alternates.
 
 Loose objects are dealt by their fan-out folders, packs by ranges of their index; every partition resolves the delta
 chains of its own objects, with a bounded cache of bases.  Paths may be any that pyarrow's file systems know.
@@ -11,6 +11,7 @@ chains of its own objects, with a bounded cache of bases.  Paths may be any that
 from __future__ import annotations
 
 import hashlib
+import posixpath
 import re
 import struct
 import zlib
@@ -18,7 +19,8 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the storage format.
@@ -37,6 +39,8 @@ SCHEMAS = {
     "refs": "refname string, kind string, oid string, peeled_oid string, symref string",
     "reflog": "refname string, seq bigint, old_oid string, new_oid string, name string, email string, ts bigint, tz string, message string",
     "index_entries": "path string, stage int, mode int, oid string, size bigint, mtime bigint",
+    "commit_graph": "oid string, tree_oid string, parents array<string>, generation bigint, commit_ts bigint",
+    "alternates": "folder string, depth int",
     "pack_objects": "pack string, oid string, type string, size bigint, size_in_pack bigint, offset bigint, depth int, base_oid string",
 }
 
@@ -361,6 +365,8 @@ class HistoryReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         store, root = open_folder(self.path)
+        if self.table in ("commit_graph", "alternates"):
+            return [Part(self.table, root)]
         if self.table == "refs":
             return [Part("refs", root)]
         if self.table == "index_entries":
@@ -383,6 +389,14 @@ class HistoryReader(DataSourceReader):
         store, root = open_folder(self.path)
         if part.kind == "refs":
             yield from read_refs(store, root)
+        elif part.kind == "commit_graph":
+            info = f"{root}/objects/info"
+            chain = [p for p in _walk(store, info) if p == f"{info}/commit-graph"]
+            if not chain and (lists := [p for p in _walk(store, f"{info}/commit-graphs") if p.endswith("commit-graph-chain")]):
+                chain = [f"{info}/commit-graphs/graph-{name}.graph" for name in _read(store, lists[0]).decode().split()]
+            yield from parse_commit_graph([_read(store, p) for p in chain])
+        elif part.kind == "alternates":
+            yield from alternates(store, f"{root}/objects")
         elif part.kind == "index":
             try:
                 data = _read(store, part.path)
@@ -420,6 +434,84 @@ class HistoryReader(DataSourceReader):
             yield tag_row(oid, body)
 
 
+def parse_commit_graph(layers: list[bytes]) -> Iterator[tuple]:
+    """Rows of a commit graph, whose layers build on each other: parents are numbered over all of them.
+
+    A layer is `CGPH`, version, hash version, numbers of chunks and of layers below, a table of (id, offset), and the chunks: OIDL holds the sorted ids,
+    CDAT for each the tree, two parents, and 30 bits of generation before 34 bits of time; EDGE holds further parents.
+    """
+    none, more, last = 0x70000000, 0x80000000, 0x80000000
+    ids: list[str] = []
+    parsed = []
+    for data in layers:
+        if data[:4] != b"CGPH" or data[4] != 1:
+            raise ValueError("not a commit graph")
+        size = {1: 20, 2: 32}[data[5]]
+        table = [struct.unpack_from(">4sQ", data, 8 + 12 * i) for i in range(data[6] + 1)]
+        chunks = {name: (begin, end) for (name, begin), (_, end) in zip(table, table[1:], strict=False)}
+        begin, end = chunks[b"OIDL"]
+        own = [data[i : i + size].hex() for i in range(begin, end, size)]
+        ids += own
+        parsed.append((data, size, chunks, own))
+    for data, size, chunks, own in parsed:
+        at = chunks[b"CDAT"][0]
+        for oid in own:
+            first, second, high, low = struct.unpack_from(">IIII", data, at + size)
+            parents = [ids[first]] if first != none else []
+            if second & more and second != none:
+                edge = chunks[b"EDGE"][0] + 4 * (second & ~more)
+                while True:
+                    (value,) = struct.unpack_from(">I", data, edge)
+                    parents.append(ids[value & ~last])
+                    edge += 4
+                    if value & last:
+                        break
+            elif second != none:
+                parents.append(ids[second])
+            yield oid, data[at : at + size].hex(), parents, high >> 2, (high & 3) << 32 | low
+            at += size + 16
+
+
+def alternates(store, objects: str, most: int = 5) -> Iterator[tuple[str, int]]:
+    """(folder, depth) of an object folder, at depth 0, and of those that it borrows from, each once."""
+    seen, todo = set(), [(objects, 0)]
+    while todo:
+        folder, depth = todo.pop(0)
+        if folder in seen or depth > most:
+            continue
+        seen.add(folder)
+        yield folder, depth
+        try:
+            lines = _read(store, f"{folder}/info/alternates").decode().splitlines()
+        except FileNotFoundError:
+            continue
+        for line in lines:
+            if line and not line.startswith("#"):
+                todo.append((line if line.startswith("/") else posixpath.normpath(f"{folder}/{line}"), depth + 1))
+
+
+def load_all(spark: SparkSession, paths: dict[str, str], table: str = "commits") -> DataFrame:
+    """One table of several repositories, with their names in `repo`."""
+    out = None
+    for name, path in paths.items():
+        rows = spark.read.format("history").option("table", table).load(path).withColumn("repo", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    if out is None:
+        raise ValueError("no repository is named")
+    return out
+
+
+def objects_with_alternates(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of a repository and of those that it borrows from, with `source`, the folder; an object that several hold is taken from the nearest."""
+    folders = spark.read.format("history").option("table", "alternates").load(path).orderBy("depth", "folder").collect()
+    out = None
+    for r in folders:
+        rows = spark.read.format("history").option("table", "objects").load(posixpath.dirname(r["folder"])).withColumn("source", F.lit(r["folder"])).withColumn("depth", F.lit(r["depth"]))
+        out = rows if out is None else out.union(rows)
+    nearest = out.groupBy("oid").agg(F.min(F.struct("depth", "source")).alias("x"))
+    return out.join(nearest.select("oid", "x.*"), ["oid", "depth", "source"], "left_semi").drop("depth").dropDuplicates(["oid"])
+
+
 def register(spark: SparkSession) -> None:
     """Makes format("history") known to a session."""
     spark.dataSource.register(HistorySource)
