@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import tidy
 
-#: Bytes of each of the three dictionaries of one worker, which is emptied beyond that; the longest key that they keep.
-CACHE_BYTES = 40 << 20
+#: Bytes of each of the three dictionaries of one worker (fragments, pieces, chunks), which is emptied beyond that; the longest key that they keep.
+CACHE_BYTES = (48 << 20, 48 << 20, 128 << 20)
 CACHE_KEY = 48
 #: About what an entry takes besides its key and its value.
 _ENTRY_BYTES = 220
@@ -61,15 +61,15 @@ def _byte_characters() -> list[str]:
 class _Memo(dict):
     """A dictionary that computes what it lacks and starts anew when full; long keys aren't kept."""
 
-    def __init__(self, compute, size=len):
+    def __init__(self, compute, most: int, size=len):
         super().__init__()
-        self.compute, self.size, self.held = compute, size, 0
+        self.compute, self.most, self.size, self.held = compute, most, size, 0
 
     def __missing__(self, key):
         value = self.compute(key)
         if (n := self.size(key)) <= CACHE_KEY:
             self.held += n + 8 * len(value) + _ENTRY_BYTES
-            if self.held > CACHE_BYTES:
+            if self.held > self.most:
                 self.clear()
                 self.held = 0
             self[key] = value
@@ -99,9 +99,9 @@ class ForcedBoundaryBPE:
         for name in self.vocab:
             body = name[: -len(self.suffix)] if self.suffix and name.endswith(self.suffix) and len(name) > len(self.suffix) else name
             self.joined.update(map("".join, zip(body, body[1:], strict=False)))
-        self._fragment = _Memo(self._merge, lambda key: len(key[0]))
-        self._piece = _Memo(lambda piece: self.encode_piece(piece.encode().decode("latin-1").translate(self._table)))
-        self._chunk = _Memo(self._encode_chunk)
+        self._fragment = _Memo(self._merge, CACHE_BYTES[0], lambda key: len(key[0]))
+        self._piece = _Memo(lambda piece: self.encode_piece(piece.encode().decode("latin-1").translate(self._table)), CACHE_BYTES[1])
+        self._chunk = _Memo(self._encode_chunk, CACHE_BYTES[2])
 
     def cuts(self, piece: str) -> list[str]:
         """piece, cut wherever no token has the two neighbours side by side."""
