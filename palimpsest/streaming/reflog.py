@@ -19,7 +19,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that a stream yields from what is there now, as a table in the shared folder.
 
-    Append mode writes files with a commit log; complete mode replaces the table with each batch; update mode adds each batch's changes.
+    Append mode writes files with a commit log; complete mode writes a table of its own for each batch, of which the last is read, so that a batch that
+    fails leaves the one before it; update mode adds each batch's changes, a repeated batch taking the place of its first try.
     """
     spark = stream.sparkSession
     target, state = shared_path(spark), shared_path(spark)
@@ -27,10 +28,20 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").option("path", target).start()
     else:
-        how = "overwrite" if mode == "complete" else "append"
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(target)).start()
+        paths: list[str] = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            path = f"{target}/{number}"
+            batch.write.mode("overwrite").parquet(path)
+            if path not in paths:
+                paths.append(path)
+
+        query = writer.foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(target)
+    kept = paths[-1:] if mode == "complete" else paths
+    return spark.read.schema(stream.schema).parquet(*kept) if kept else spark.createDataFrame([], stream.schema)
 
 
 def windows(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
