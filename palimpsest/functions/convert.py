@@ -132,7 +132,7 @@ def unsafe_path(path: Column) -> Column:
     Case is ignored, as are characters that HFS+ leaves out and, for NTFS, blanks, dots and a stream name behind the name and its short form.
     """
     # zero-width and direction characters, which HFS+ ignores in names: fixed values
-    bare = F.regexp_replace(F.lower(path), "[‌-‏‪-‮⁪-⁯﻿]", "")
+    bare = F.regexp_replace(F.lower(path), "[\u200c-\u200f\u202a-\u202e\u206a-\u206f\ufeff]", "")
     return path.rlike(r"^$|^/|//|(^|[/\\])\.\.?([/\\]|$)|/$") | bare.rlike(r"(^|[/\\])(\.git|git~1)[ .]*(:[^/\\]*)?([/\\]|$)")
 
 

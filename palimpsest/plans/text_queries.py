@@ -53,7 +53,7 @@ def ident_epoch(spark, sf):
 
 @query("SELECT c_custkey, nfc_normalize(c_name || 'e' || chr(769) || 'A' || chr(778)) AS name FROM customer")
 def unicode_precomposed(spark, sf):
-    return views.load(spark, sf, "customer").select("c_custkey", convert.precomposed(F.concat("c_name", F.lit("éÅ"))).alias("name"))
+    return views.load(spark, sf, "customer").select("c_custkey", convert.precomposed(F.concat("c_name", F.lit("e\u0301A\u030a"))).alias("name"))
 
 
 @query(r"""SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile:' || substr(url, 11) WHEN starts_with(url, 'https://') THEN 'ssh://' || substr(url, 9) ELSE url END AS url,
@@ -86,7 +86,7 @@ def fsck_idents(spark, sf):
 @query("SELECT c_custkey, c_custkey % 6 IN (1, 2, 3, 4) AS unsafe FROM customer")
 def path_safety(spark, sf):
     """Whether made-up paths are unsafe to check out."""
-    forms = ["dir/%s", "dir/.Git/%s", "../%s", "git~1/%s", ".g‌it", ".github/%s"]
+    forms = ["dir/%s", "dir/.Git/%s", "../%s", "git~1/%s", ".g\u200cit", ".github/%s"]
     k = F.col("c_custkey")
     path = F.element_at(F.array(*[F.replace(F.lit(f), F.lit("%s"), F.col("c_name")) for f in forms]), (k % 6 + 1).cast("int"))
     return views.load(spark, sf, "customer").select("c_custkey", convert.unsafe_path(path).alias("unsafe"))
