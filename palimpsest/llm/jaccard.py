@@ -425,7 +425,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     mixed = placed.groupBy("list", "p", "q").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("early").alias("all_early")).filter("least < most and not all_early")
     late = written(near(apart, members.join(mixed.select("list", "p", "q"), ["list", "p", "q"], "left_semi").select("list", "sid", "p", "q")))
     if not late.isEmpty():
-        roots = components(late.union(roots.select("node", "root")))
+        # late links join whole components: only their roots take part in the rounds
+        lifted = late
+        for side in ("a", "b"):
+            lifted = lifted.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side))
+        joined = components(lifted.select("a", "b"))
+        onward = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = written(roots.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(joined.select("node", "root")))
     first = first.select("sid", "doc")
     labelled = roots.join(first, roots["node"] == first["sid"]).select("sid", "root", "doc")
     roots_doc = first.select(F.col("sid").alias("root"), F.col("doc").alias("root_doc"))
