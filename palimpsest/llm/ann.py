@@ -1,17 +1,12 @@
-"""Approximate nearest neighbours: score-aware quantisation, four-bit table scans, exact reranking.
+"""Nearest neighbours by blocks of matrix products, measured exactly in double precision.
 
-The nearest vectors in Euclidean distance are those of the largest q.x - |x|^2 / 2.  The inner product is
-approximated from codes of SUBSPACE dimensions with 16 centres each (four bits); the norm term is kept as it is.  Codes and
-centres minimise the anisotropic loss |r|^2 + (ETA - 1) (r.u)^2 of the residual r along the vector's own direction u, as
-errors along the vector harm the scores that matter most.  Two codes make a byte, so a scan adds one entry of a
-256-entry table for each byte.  The RERANK best of the scan are measured exactly, in double precision.
+The nearest vectors in Euclidean distance are found for all rows, whatever their distribution.  The index is dealt out in parts of about BLOCK_BYTES, whatever
+the partitions of the input are.  A task holds one part and one batch of queries: a matrix product of both, centred on the part's median, gives each squared
+distance within a bound of its rounding errors, and all vectors that may be among the k + 1 nearest by that bound are measured component by component, in
+the order in which SQL sums them.  Values that over- or underflow have no such bound, and are measured all.  Each part gives the k + 1 nearest of each query.
 
 Equal vectors are one class in the index: a class holds its k + 1 smallest ids, which is all that a result can name, so a
-vector that a third of all rows repeat costs one code.  The index is dealt out in parts of about BLOCK vectors, whatever the partitions
-of the input are, and each part gives its RERANK best of each query.  Queries are read batch by batch from the shared folder:
-neither side is broadcast, and a task holds one part and one batch.
-
-Training takes the TRAIN vectors with the smallest hash of their id; every vector is indexed.
+vector that a third of all rows repeat is measured once.  Queries are read batch by batch from the shared folder: neither side is broadcast.
 
 Defined results: vectors that are null, empty, zero, of another length than the most frequent one, or hold null or non-finite
 components take no part; components count as doubles, and a float is the double that it equals; equal distances go to smaller ids; a repeated (id, vector) row counts once;
@@ -29,13 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, tidy, written
 
-TRAIN = 10_000
-SUBSPACE = 2
-RERANK = 384
-BLOCK = 1 << 16
-QUERY_BATCH = 256
-#: Weight of the parallel residual for a score threshold of 0.2: (d - 1) T^2 / (1 - T^2).
-THRESHOLD = 0.2
+#: Bytes of the doubles of one part of the index, of the distances of a query batch to it, and of the differences that are measured at once.
+BLOCK_BYTES = 16 << 20
+#: Squared distances between these have neither lost bits below nor overflown.
+LEAST, MOST = 1e-280, 1e290
 
 
 def valid(vector: Column) -> Column:
@@ -43,133 +35,83 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
 
 
-class Quantiser:
-    """Centres of each subspace, fitted by alternating assignment and least squares."""
-
-    def __init__(self, x: np.ndarray, seed: int = 3, rounds: int = 8):
-        n, d = x.shape
-        self.pad = -d % (2 * SUBSPACE)
-        x = self._padded(x)
-        self.parts = x.shape[1] // SUBSPACE
-        self.eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        random = np.random.default_rng(seed)
-        self.centres = np.stack([x[random.integers(0, n, 16), s * SUBSPACE : (s + 1) * SUBSPACE] for s in range(self.parts)]).astype(np.float64)
-        # k-means to begin with, then the anisotropic loss
-        for r in range(rounds):
-            codes = self._nearest(x) if r < 3 else self.encode_padded(x)
-            self._solve(x, codes, anisotropic=r >= 3)
-
-    def _padded(self, x: np.ndarray) -> np.ndarray:
-        return np.pad(x.astype(np.float64), ((0, 0), (0, self.pad)))
-
-    def _part(self, x: np.ndarray, s: int) -> np.ndarray:
-        return x[:, s * SUBSPACE : (s + 1) * SUBSPACE]
-
-    def _nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([((self._part(x, s)[:, None] - self.centres[s][None]) ** 2).sum(2).argmin(1) for s in range(self.parts)], 1).astype(np.uint8)
-
-    def _parallel(self, x: np.ndarray, u: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """r.u of each subspace."""
-        return np.stack([((self._part(x, s) - self.centres[s][codes[:, s]]) * self._part(u, s)).sum(1) for s in range(self.parts)], 1)
-
-    def encode_padded(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        codes = self._nearest(x)
-        along = self._parallel(x, u, codes)
-        total = along.sum(1)
-        for _ in range(sweeps):
-            for s in range(self.parts):
-                r = self._part(x, s)[:, None] - self.centres[s][None]
-                p = (r * self._part(u, s)[:, None]).sum(2)
-                loss = (r**2).sum(2) + (self.eta - 1) * ((total - along[:, s])[:, None] + p) ** 2
-                best = loss.argmin(1)
-                total += p[np.arange(len(x)), best] - along[:, s]
-                along[:, s] = p[np.arange(len(x)), best]
-                codes[:, s] = best
-        return codes
-
-    def _solve(self, x: np.ndarray, codes: np.ndarray, anisotropic: bool) -> None:
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        along = self._parallel(x, u, codes)
-        total = along.sum(1)
-        w = self.eta - 1 if anisotropic else 0.0
-        for s in range(self.parts):
-            xs, us = self._part(x, s), self._part(u, s)
-            rest = total - along[:, s]
-            for c in range(16):
-                m = codes[:, s] == c
-                if not m.any():
-                    continue
-                left = m.sum() * np.eye(SUBSPACE) + w * us[m].T @ us[m]
-                right = xs[m].sum(0) + w * (us[m] * (rest[m] + (xs[m] * us[m]).sum(1))[:, None]).sum(0)
-                self.centres[s, c] = np.linalg.solve(left, right)
-            now = ((xs - self.centres[s][codes[:, s]]) * us).sum(1)
-            total += now - along[:, s]
-            along[:, s] = now
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two codes a byte."""
-        codes = self.encode_padded(self._padded(x))
-        return (codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8)
-
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each query and byte place the inner product of each byte value."""
-        q = self._padded(q).reshape(len(q), self.parts, 1, SUBSPACE)
-        one = (q * self.centres[None]).sum(3)
-        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), self.parts // 2, 256).astype(np.float32)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _codes(reps: DataFrame, quantiser: Quantiser, scale: float) -> DataFrame:
-    """The index: ids, codes and half squared norms of the vectors, packed by batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1)) / scale
-            norms = ((x**2).sum(1) / 2).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"ids": [batch.column(0).to_numpy().tobytes()], "codes": [quantiser.encode(x).tobytes()], "norms": [norms.tobytes()]})
-
-    return reps.select("rep", "vector").mapInArrow(run, "ids binary, codes binary, norms binary")
-
-
-def _scan(packed: DataFrame, folder: str, quantiser: Quantiser, scale: float, width: int) -> DataFrame:
-    """(query, rep, approx): for each query of the files in folder the `width` best of each partition of the index."""
+def _measured(x: np.ndarray, q: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (x[at], q[of]), components summed in their order."""
+    out = np.empty(len(at))
+    step = max(1, BLOCK_BYTES // (8 * x.shape[1]))
+    for begin in range(0, len(at), step):
+        part = slice(begin, begin + step)
+        square = (x[at[part]] - q[of[part]]) ** 2
+        total = np.zeros(len(square))
+        for column in square.T:
+            total += column
+        out[part] = total
+    return out
+
+
+def block_nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of q its place, and ids and distances of the `width` nearest rows of x, ties to smaller ids."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        width = min(width, len(x))
+        centre = np.median(x[:: max(1, len(x) // 1000)], axis=0)
+        a, b = x - centre, q - centre
+        aa, bb = (a**2).sum(1), (b**2).sum(1)
+        near = aa - 2 * (b @ a.T)
+        near += bb[:, None]
+        # of the products, the sums, the centring and the measuring itself
+        error = (np.sqrt(aa) + np.sqrt(bb)[:, None]) ** 2
+        error *= 8 * (x.shape[1] + 16) * 2.0**-53
+        near += error
+        limit = np.partition(near, width - 1, axis=1)[:, width - 1]
+        error *= 2
+        near -= error
+        # not(>), as a value that isn't a number has no bound
+        of, at = np.nonzero(~(near > limit[:, None]))
+        square = _measured(x, q, at, of)
+        ends = np.searchsorted(of, np.arange(len(q) + 1))
+        for j in range(len(q)):
+            own, found = at[ends[j] : ends[j + 1]], square[ends[j] : ends[j + 1]]
+            last = np.partition(found, width - 1)[width - 1] if len(found) >= width else np.nan
+            if not LEAST <= last <= MOST and len(own) < len(x):
+                own = np.arange(len(x))
+                found = _measured(x, q, own, np.full(len(x), j))
+            score = np.sqrt(found)
+            best = np.lexsort((ids[own], score))[:width]
+            yield j, ids[own[best]], score[best]
+
+
+def _scan(reps: DataFrame, folder: str, width: int) -> DataFrame:
+    """(query, rep, score): for each query of the files in folder the `width` nearest of each partition of reps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        if not rows:
+        parts = [(batch.column(0).to_numpy(), _matrix(batch.column(1))) for batch in batches if batch.num_rows]
+        if not parts:
             return
-        ids, norms = (np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("ids", np.int64), ("norms", np.float32)))
-        codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(-1, quantiser.parts // 2) for r in rows])
-        # in the order of ids, so that ties don't depend on how the rows were dealt
-        order = np.argsort(ids)
-        ids, norms, codes = ids[order], norms[order], np.ascontiguousarray(codes[order].T)
+        ids, x = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+        del parts
+        rows = max(1, BLOCK_BYTES // (8 * max(x.shape)))
         store, root = fs.FileSystem.from_uri(folder)
         for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
             with store.open_input_file(name) as stream:
-                for part in pq.ParquetFile(stream).iter_batches(QUERY_BATCH, columns=["rep", "vector"]):
-                    out_r, out_s = [], []
-                    for table in quantiser.tables(_matrix(part.column(1)) / scale):
-                        s = -norms
-                        for byte, entries in zip(codes, table, strict=True):
-                            s += entries[byte]
-                        top = np.arange(len(s)) if len(s) <= width else np.argpartition(-s, width - 1)[:width]
-                        out_r.append(ids[top])
-                        out_s.append(s[top])
-                    if out_r:
-                        query = np.repeat(part.column(0).to_numpy(), [len(x) for x in out_r])
-                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate(out_r), pa.int64()), pa.array(np.concatenate(out_s), pa.float32())], names=["query", "rep", "approx"])
-
-    return packed.mapInArrow(tidy(run), "query long, rep long, approx float")
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
+                for part in pq.ParquetFile(stream).iter_batches(rows, columns=["rep", "vector"]):
+                    queries = part.column(0).to_numpy()
+                    found = list(block_nearest(ids, x, _matrix(part.column(1)), width))
+                    if found:
+                        query = np.concatenate([np.full(len(near), queries[j]) for j, near, _ in found])
+                        near, score = (np.concatenate([f[n] for f in found]) for n in (1, 2))
+                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(near, pa.int64()), pa.array(score, pa.float64())], names=["query", "rep", "score"])
+
+    return reps.select("rep", "vector").mapInArrow(tidy(run), "query long, rep long, score double")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each query row, itself left out.
 
     is_query is a condition over the column `id`.
@@ -190,20 +132,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     reps = kept.filter("rn = 1").select("rep", "vector")
     asked = written(ids.filter(is_query).join(reps, "vector").select(F.col("id").alias("query_id"), "rep", "vector"))
 
-    sample = np.array([r["vector"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).collect()])
-    scale = float(np.abs(sample).max())
-    quantiser = Quantiser(sample / scale)
     folder = shared_dir(spark)
     asked.select("rep", "vector").dropDuplicates(["rep"]).write.parquet(folder)
-
-    # the index in parts of about BLOCK vectors, whatever the partitions of the input were
-    packed = written(_codes(reps, quantiser, scale))
-    scanned = _scan(packed.repartition(-(-reps.count() // BLOCK)), folder, quantiser, scale, rerank)
-    best = Window.partitionBy("query").orderBy(F.desc("approx"), "rep")
-    pairs = scanned.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= rerank).select("query", "rep")
-    pairs = pairs.join(reps, "rep").join(spark.read.parquet(folder).select(F.col("rep").alias("query"), F.col("vector").alias("own")), "query")
-    square = F.aggregate(F.zip_with("vector", "own", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    measured = pairs.select("query", "rep", F.sqrt(square).alias("score"))
+    block = max(1, BLOCK_BYTES // (8 * sizes[0]["d"]))
+    measured = _scan(reps.repartition(-(-reps.count() // block)), folder, k + 1)
     near = Window.partitionBy("query").orderBy("score", "rep")
     classes = measured.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k + 1).select("query", "rep", "score")
     members = classes.join(kept.select("rep", F.col("id").alias("vec_id")), "rep")

@@ -121,6 +121,29 @@ def test_nearest_neighbours_of_doubles(spark):
     assert all(r["score"] == np.sqrt(((x[r["vec_id"]] - x[0]) ** 2).sum()) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["offset", "scales", "tight", "tiny", "huge"])
+def test_nearest_neighbours_are_exact_on_any_rows(spark, kind):
+    random_ = np.random.default_rng(4)
+    x = random_.normal(size=(2000, 12))
+    if kind == "offset":
+        x += 1e5
+    elif kind == "scales":
+        x *= 10.0 ** random_.uniform(-6, 6, size=(2000, 1))
+    elif kind == "tight":
+        x = random_.normal(size=(4, 12))[random_.integers(0, 4, 2000)] + 1e-9 * x
+    else:
+        x *= {"tiny": 1e-162, "huge": 1e155}[kind]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 2000, 100))
+    for q, found in got.items():
+        with np.errstate(all="ignore"):
+            d = np.sqrt(sum((x[:, j] - x[q, j]) ** 2 for j in range(12)))
+        best = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
+        assert sorted(found) == [(n, i, d[i]) for n, i in enumerate(best, 1)]
+
+
 def test_scan_rows_do_not_follow_the_partitions(spark):
     random_ = np.random.default_rng(2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(random_.normal(size=(1500, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
