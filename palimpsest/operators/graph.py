@@ -196,16 +196,31 @@ def fork_points(tips: DataFrame, log: DataFrame, reach: DataFrame, edges: DataFr
     Null where the tip reaches none, or where several are best, as then no entry is the one.
     """
     held = tips.join(log.select("ref", "oid").distinct(), "ref").join(reach, ["tip", "oid"], "left_semi").select("tip", "oid")
+    return only_best(tips, uncovered(held, edges))
+
+
+def uncovered(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tip, oid): of the (tip, oid) rows of each tip those that no other one of it reaches."""
     inner = held.select(F.col("oid").alias("tip")).distinct()
     below = reach_of(inner, edges).filter("tip <> oid").withColumnRenamed("tip", "upper")
     covered = held.withColumnRenamed("oid", "upper").join(below, "upper").select("tip", "oid").distinct()
-    best = held.join(covered, ["tip", "oid"], "left_anti").groupBy("tip").agg(F.count("*").alias("n"), F.min("oid").alias("oid"))
-    return tips.select("tip").distinct().join(best, "tip", "left").select("tip", F.when(F.col("n") == 1, F.col("oid")).alias("oid"))
+    return held.join(covered, ["tip", "oid"], "left_anti").select("tip", "oid")
+
+
+def only_best(tips: DataFrame, best: DataFrame) -> DataFrame:
+    """(tip, oid): the best of each tip, null where it has none or several."""
+    one = best.groupBy("tip").agg(F.count("*").alias("n"), F.min("oid").alias("oid"))
+    return tips.select("tip").distinct().join(one, "tip", "left").select("tip", F.when(F.col("n") == 1, F.col("oid")).alias("oid"))
 
 
 def all_reached(targets: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (all_reached, n_missing): whether some tip reaches each (oid) target."""
-    missing = targets.select("oid").distinct().join(reached(tips, edges), "oid", "left_anti")
+    return none_missing(targets, reached(tips, edges))
+
+
+def none_missing(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (all_reached, n_missing): whether each (oid) target is among the found ones."""
+    missing = targets.select("oid").distinct().join(found, "oid", "left_anti")
     return missing.agg((F.count("*") == 0).alias("all_reached"), F.count("*").alias("n_missing"))
 
 
@@ -266,8 +281,13 @@ def bisect_weights(sets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bisect(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, oid, weight, total): the commit of a..b whose reach inside the range is nearest to half; ties to the smaller id."""
+    return middle(bisect_weights(sets, edges))
+
+
+def middle(weights: DataFrame) -> DataFrame:
+    """(a, b, oid, weight, total): of the weights of each pair the one that is nearest to half; ties to the smaller id."""
     best = F.max_by(F.struct("oid", "weight", "total"), F.struct(F.least(F.col("weight"), F.col("total") - F.col("weight")), -F.col("oid")))
-    return bisect_weights(sets, edges).groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.*")
+    return weights.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.*")
 
 
 def nearest_names(named: DataFrame, reach: DataFrame) -> DataFrame:
