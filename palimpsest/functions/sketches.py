@@ -78,23 +78,3 @@ def path_filters(changed: DataFrame, asked: str) -> DataFrame:
             )
 
     return changed.groupBy("oid").agg(F.collect_set("path").alias("paths")).mapInArrow(run, f"oid {kind}, n_paths long, filter string, may_hold boolean")
-
-
-def bits_of(maps: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, value): the values of (by…, bucket, bits) bitmaps, a row a bit; a map."""
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = ", ".join(f"`{c}` {maps.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(batches):
-        for batch in batches:
-            for i in range(len(batch)):
-                bits = np.frombuffer(batch.column(len(by) + 1)[i].as_py(), np.uint8)
-                # buckets of positive values count up from 1, those of others down from 0
-                bucket, size = batch.column(len(by))[i].as_py(), 8 * len(bits)
-                at = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-                at = at + (bucket - 1) * size + 1 if bucket > 0 else bucket * size - at
-                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(j)[i].as_py()] * len(at), batch.schema.field(j).type) for j in range(len(by))], pa.array(at, pa.int64())], names=[*by, "value"])
-
-    return maps.select(*by, "bucket", "bits").mapInArrow(run, f"{kinds}, value long")

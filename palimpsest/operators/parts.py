@@ -125,6 +125,12 @@ class Walked:
             keep = ~_has(covered, self.own[y])
             yield self.ids[x][keep], self.ids[y][keep]
 
+    def counted(self, x, y):
+        order = np.argsort(y, kind="stable")
+        begin = np.flatnonzero(np.diff(y[order], prepend=-1))
+        if len(begin):
+            yield self.ids[y[order][begin]], np.bitwise_count(np.bitwise_or.reduceat(self.bits[x[order]], begin, axis=0)).sum(1, dtype=np.int64)
+
 
 _OUT = {
     "reach": "tip long, oid long",
@@ -133,6 +139,7 @@ _OUT = {
     "weights": "a long, b long, oid long, weight long, total long",
     "between": "a long, b long, oid long",
     "best": "tip long, oid long",
+    "counted": "name long, n long",
 }
 
 
@@ -255,3 +262,14 @@ def best_of(held: DataFrame, edges: DataFrame, large: DataFrame) -> DataFrame:
     """(tip, oid): of the (part, tip, oid) rows of each tip those that no other one of it reaches."""
     asked = held.select("part", F.col("tip").alias("x"), F.col("oid").alias("y"))
     return _answered(edges, asked, large, "best", lambda e, h: graph.uncovered(h.select(F.col("x").alias("tip"), F.col("y").alias("oid")), e))
+
+
+def counted(tips: DataFrame, edges: DataFrame, large: DataFrame) -> DataFrame:
+    """(name, n): how many commits the (part, tip, name) tips of each name reach together, by the union of their bitmaps; a name is an oid of the part."""
+    asked = tips.select("part", F.col("tip").alias("x"), F.col("name").alias("y"))
+
+    def otherwise(e: DataFrame, t: DataFrame) -> DataFrame:
+        reach = graph.reach_of(t.select(F.col("x").alias("tip")), e).withColumnRenamed("tip", "x")
+        return t.join(reach, "x").select(F.col("y").alias("name"), "oid").distinct().groupBy("name").agg(F.count("*").alias("n"))
+
+    return _answered(edges, asked, large, "counted", otherwise)

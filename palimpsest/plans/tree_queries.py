@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import diff, graph, trees
+from ..operators import diff, graph, parts, trees
 from ..sources import views
 from .content_queries import _RENAMES, DIFF, LINES, first_diffs, lines
-from .graph_queries import FIRST, GRAPH, HEADS, LINEAGE, _TREE, chain, closure, commits, heads, pairs, parents
+from .graph_queries import FIRST, GRAPH, HEADS, LINEAGE, _TREE, chain, closure, commits, heads, pairs, parents, part, parted
 from .registry import query
 
 _VALUES = f"{_TREE}, val AS (SELECT oid, path, flag || content AS value FROM paths)"
@@ -109,19 +110,19 @@ def status_summary(spark, sf):
 
 @query(GRAPH + "SELECT branch, count(DISTINCT closure.oid)::BIGINT AS n FROM heads JOIN closure ON tip = heads.oid GROUP BY branch")
 def reachability_bitmaps(spark, sf):
-    """Sizes of the branches' reach, counted on compressed bitmaps."""
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "branch")
-    bits = closure(spark, sf).join(tips, "tip").groupBy("branch", F.expr("bitmap_bucket_number(oid)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(oid))").alias("bits"))
-    return bits.groupBy("branch").agg(F.sum(F.expr("bitmap_count(bits)")).alias("n"))
+    """Sizes of the branches' reach, counted on the bitmaps of their group."""
+    tips = heads(spark, sf).select(part(spark, sf).alias("part"), F.col("oid").alias("tip"), F.col("oid").alias("name"))
+    sizes = parts.counted(tips, *parted(spark, sf))
+    return heads(spark, sf).select("branch", F.col("oid").alias("name")).join(sizes, "name").groupBy("branch").agg(F.sum("n").alias("n"))
 
 
 @query(GRAPH + "SELECT grp, count(DISTINCT closure.oid)::BIGINT AS n FROM heads JOIN closure ON tip = heads.oid GROUP BY grp")
 def bitmap_union(spark, sf):
-    """Sizes of unions of bitmaps."""
-    tips = heads(spark, sf).select(F.col("oid").alias("tip"), "branch", "grp")
-    bits = closure(spark, sf).join(tips, "tip").groupBy("grp", "branch", F.expr("bitmap_bucket_number(oid)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(oid))").alias("bits"))
-    union = bits.groupBy("grp", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-    return union.groupBy("grp").agg(F.sum(F.expr("bitmap_count(bits)")).alias("n"))
+    """Sizes of unions of bitmaps; a group goes by the smallest of its tips."""
+    h = heads(spark, sf).select("grp", part(spark, sf).alias("part"), F.col("oid").alias("tip"))
+    named = h.groupBy("grp").agg(F.min("tip").alias("name"))
+    tips = h.withColumn("name", F.min("tip").over(Window.partitionBy("grp"))).select("part", "tip", "name")
+    return named.join(parts.counted(tips, *parted(spark, sf)), "name").select("grp", "n")
 
 
 @query("""SELECT (SELECT count(*) FROM orders)::BIGINT AS n_objects, (SELECT sum(octet_length(encode(o_orderpriority))) FROM orders)::BIGINT AS bytes,
