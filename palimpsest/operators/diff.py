@@ -103,14 +103,15 @@ def line_similarity(lines: DataFrame, least: int, top: int = 60000) -> DataFrame
     return scored.union(same)
 
 
-def changed_lines(versions: DataFrame) -> DataFrame:
-    """(doc_id, version, line, added, deleted): per step to `version`, lines by how many more or fewer there are."""
-    now = versions.groupBy("doc_id", "version", "line").agg(F.count("*").alias("n"))
-    steps = now.select("doc_id", "version", "line", "n", F.lit(0).cast("long").alias("m")).filter("version > 0")
-    steps = steps.union(now.select("doc_id", F.col("version") + 1, "line", F.lit(0).cast("long"), F.col("n")).filter("version + 1 <= 3"))
-    both = steps.groupBy("doc_id", "version", "line").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    out = both.select("doc_id", "version", "line", F.greatest(F.col("n") - F.col("m"), F.lit(0)).alias("added"), F.greatest(F.col("m") - F.col("n"), F.lit(0)).alias("deleted"))
-    return out.filter("added > 0 or deleted > 0")
+def changed_lines(versions: DataFrame, last: int = 3) -> DataFrame:
+    """(doc_id, version, line, added, deleted): per step to `version`, 1 to last, lines by how many more or fewer there are.
+
+    One aggregate counts a line in all versions, so that a line is shuffled once for each document, not for each version and step.
+    """
+    held = versions.filter(F.col("version").between(0, last)).groupBy("doc_id", "line").agg(*[F.count_if(F.col("version") == v).alias(f"n{v}") for v in range(last + 1)])
+    more = [F.struct(F.lit(v).cast("long").alias("version"), (F.col(f"n{v}") - F.col(f"n{v - 1}")).alias("more")) for v in range(1, last + 1)]
+    steps = held.select("doc_id", "line", F.explode(F.filter(F.array(*more), lambda x: x["more"] != 0)).alias("x"))
+    return steps.select("doc_id", F.col("x.version").cast(versions.schema["version"].dataType).alias("version"), "line", F.greatest("x.more", F.lit(0)).alias("added"), F.greatest(-F.col("x.more"), F.lit(0)).alias("deleted"))
 
 
 def numstat(changes: DataFrame) -> DataFrame:

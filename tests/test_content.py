@@ -160,3 +160,13 @@ def test_ranges_with_nulls_and_ties_merge_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     expected = con.execute(catalogue.oracle_sql()["line_ranges_merged"]).fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
+def test_changed_lines_take_one_shuffle(spark):
+    from palimpsest.operators import diff
+
+    rows = [(1, 0, "a"), (1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (1, 3, "b"), (1, 3, "b"), (1, 3, None), (2, 2, "a"), (2, 3, "a"), (3, 0, "z")]
+    changes = diff.changed_lines(spark.createDataFrame(rows, "doc_id long, version long, line string"))
+    assert changes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    expected = [(1, 1, "a", 0, 1), (1, 2, "a", 0, 1), (1, 2, "b", 1, 0), (1, 3, "b", 1, 0), (1, 3, None, 1, 0), (2, 2, "a", 1, 0), (3, 1, "z", 0, 1)]
+    assert sorted(map(repr, map(tuple, changes.collect()))) == sorted(map(repr, expected))
